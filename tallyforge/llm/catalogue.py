@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, exact_dedup, licenses, sharding, url_rules
+from tallyforge.llm import decontaminate, exact_dedup, licenses, line_dedup, sharding, url_rules
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op6_license_scan": licenses.op6_license_scan,
     "op8_hilbert_shards": sharding.op8_hilbert_shards,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op6_license_scan": licenses.OP6_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op6_license_scan": licenses.OP6_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
