@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, exact_dedup, licenses, line_dedup, sharding, url_rules
+from tallyforge.llm import decontaminate, exact_dedup, licenses, line_dedup, quality, sharding, url_rules
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_quality": quality.op7_quality,
     "op8_hilbert_shards": sharding.op8_hilbert_shards,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
