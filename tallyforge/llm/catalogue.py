@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, exact_dedup, licenses, line_dedup, quality, sharding, url_rules
+from tallyforge.llm import decontaminate, exact_dedup, licenses, line_dedup, quality, sharding, simhash, url_rules
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op6_license_scan": licenses.op6_license_scan,
