@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, exact_dedup, licenses, line_dedup, packing, quality, sharding, simhash, url_rules
+from tallyforge.llm import decontaminate, exact_dedup, licenses, line_dedup, packing, quality, repeats, sharding, simhash, url_rules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
+    "op5_repeats": repeats.op5_repeats,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_quality": quality.op7_quality,
     "op8_hilbert_shards": sharding.op8_hilbert_shards,
