@@ -15,6 +15,10 @@ at most as many fingerprints share one as there are values that near, and they'r
 
 Groups are the connected components of the links, found by alternating large and small stars over tables.
 
+With ``soft_bits`` above zero a text also stands under the fingerprints that arise from flipping any of its so many least
+certain bits (those where the share of hashes is nearest to half), as an edit flips these first: texts are then linked if any of
+their fingerprints are. That finds far more edited copies at the same bits_apart than raising bits_apart would at the same cost.
+
 Defined cases: null and empty texts have fingerprint zero, linked like any other; texts of fewer words than a shingle are one
 shingle; rows that share a doc_id or repeat are judged one by one; a null doc_id is grouped but never names a group, unless all
 ids of it are null; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -38,6 +42,10 @@ from tallyforge.llm.components import connected_components
 BITS, SEED = 64, 42
 SHINGLE, BITS_APART = 3, 2
 HOT_BUCKET = 64
+#: What dropping near copies takes: 16 fingerprints a text.
+SOFT_BITS = 4
+#: Up to so many ids, at 16 bytes, are broadcast.
+BROADCAST_ROWS = 500_000
 #: Costs of filing or probing one key and of verifying one candidate, in the same unit.
 KEY_COST, CANDIDATE_COST = 1.0, 0.2
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little").astype("i8")
@@ -54,23 +62,32 @@ def shingles(text: bytes, k: int) -> list[bytes]:
     return [whole[a:b] for a, b in zip(starts, ends[k - 1 :], strict=False)]
 
 
-def fingerprint(text: bytes, k: int = SHINGLE) -> int:
+def bit_counts(text: bytes, k: int) -> tuple[np.ndarray, int]:
+    """By bit, how many shingle hashes set it; how many shingles there are."""
     cut = shingles(text, k)
-    if not cut:
-        return 0
     counts = np.zeros((8, 8), "i8")
     for at in range(0, len(cut), 1 << 16):
         hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in cut[at : at + (1 << 16)]], "<u8")
         spots = hashes.view("u1").reshape(-1, 8) + np.arange(8) * 256
         counts += np.bincount(spots.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
-    return int(np.packbits((2 * counts > len(cut)).ravel(), bitorder="little").view("<u8")[0])
+    return counts.ravel(), len(cut)
+
+
+def fingerprints(text: bytes, k: int = SHINGLE, soft_bits: int = 0) -> list[int]:
+    """The text's fingerprint, then those with some of its least certain bits flipped."""
+    counts, n = bit_counts(text, k)
+    over = 2 * counts - n
+    first = int(np.packbits(over > 0, bitorder="little").view("<u8")[0])
+    soft = np.argsort(np.abs(over), kind="stable")[:soft_bits].tolist() if n else []
+    return [first ^ sum(1 << b for b in some) for i in range(len(soft) + 1) for some in combinations(soft, i)]
 
 
-def _fingerprints(k: int):
+def _fingerprints(k: int, soft_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(x.as_py() or b"", k) for x in batch.column(1).cast(pa.binary())], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+            prints = [np.array(fingerprints(x.as_py() or b"", k, soft_bits), "u8").view("i8") for x in batch.column(1).cast(pa.binary())]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prints)], dtype="i4"), np.concatenate([*prints, np.empty(0, "i8")]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(x[0]) for x in prints], pa.int64()), lists], ["doc_id", "fp", "soft"])
 
     return run
 
@@ -160,7 +177,9 @@ def _near(fp: str, flips: list[int]) -> Column:
 
 def links(prints: DataFrame, n: int, bits_apart: int, scratch: Scratch, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Edges (a, b) whose connected components are those of all pairs of distinct fingerprints at most bits_apart bits apart;
-    prints is a written table of n distinct fingerprints in column fp."""
+    prints is a written table of n distinct fingerprints in column fp. Those with the same owner, where there is such a
+    column, are known to belong together and get no edge."""
+    own = "owner" if "owner" in prints.columns else "fp"
     rows = prints.select("fp").mapInArrow(_together, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # BITS * BITS rows
     together = np.zeros((BITS, BITS))
     for r in rows:
@@ -168,10 +187,10 @@ def links(prints: DataFrame, n: int, bits_apart: int, scratch: Scratch, hot_buck
     parts = plan(together, n, bits_apart)
     masks = [_signed(sum(1 << b for b in bits)) for bits, _ in parts]
     filed = F.array(*(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).alias("value")) for i, mask in enumerate(masks)))
-    index = scratch.save(prints.select("fp", F.inline(filed)))
+    index = scratch.save(prints.select("fp", F.col(own).alias("own"), F.inline(filed)))
     sizes = index.groupBy("part", "value").agg(F.count("*").alias("size"))
     if any(t for _, t in parts):
-        probed = [prints.select("fp", F.lit(i).alias("part"), F.explode(_near("fp", _flips(bits, t))).alias("value")).withColumn("value", F.col("value").bitwiseAND(F.lit(masks[i]))) for i, (bits, t) in enumerate(parts)]
+        probed = [prints.select("fp", F.col(own).alias("own"), F.lit(i).alias("part"), F.explode(_near("fp", _flips(bits, t))).alias("value")).withColumn("value", F.col("value").bitwiseAND(F.lit(masks[i]))) for i, (bits, t) in enumerate(parts)]
         probes = probed[0]
         for more in probed[1:]:
             probes = probes.unionByName(more)
@@ -181,10 +200,10 @@ def links(prints: DataFrame, n: int, bits_apart: int, scratch: Scratch, hot_buck
     sizes = scratch.save(sizes)
     sized = scratch.save(join_by_key(probes, sizes, ["part", "value"], "size", n * len(parts)).where("size is not null"))
     cold = sized.where(F.col("size") <= hot_bucket).drop("size")
-    candidates = cold.join(index.withColumnRenamed("fp", "other"), ["part", "value"])
+    candidates = cold.join(index.withColumnsRenamed({"fp": "other", "own": "other_own"}), ["part", "value"])
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    lower = F.col("fp") < F.col("other") if probes is index else F.col("fp") != F.col("other")
-    pairs = candidates.where(lower & (apart <= bits_apart)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    differ = (F.col("fp") < F.col("other") if probes is index else F.col("fp") != F.col("other")) & (F.col("own") != F.col("other_own"))
+    pairs = candidates.where(differ & (apart <= bits_apart)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     touched = sized.where(F.col("size") > hot_bucket).select("fp").distinct()
     if probes is not index:  # what a hot bucket holds, besides what probes it
         hot = sized.where(F.col("size") > hot_bucket).select("part", "value").distinct()
@@ -195,21 +214,44 @@ def links(prints: DataFrame, n: int, bits_apart: int, scratch: Scratch, hot_buck
     return pairs.unionByName(stars)
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits_apart: int = BITS_APART, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def _soft_links(rows: DataFrame, bits_apart: int, scratch: Scratch, hot_bucket: int) -> DataFrame:
+    """Edges between texts' own fingerprints that are linked by any of their fingerprints."""
+    named = scratch.save(rows.select("fp", F.explode("soft").alias("any")).distinct())
+    owners = scratch.save(named.groupBy("any").agg(F.min("fp").alias("owner")))
+    shared = named.join(owners, "any").where("fp <> owner").select(F.col("owner").alias("a"), F.col("fp").alias("b"))
+    found = scratch.save(links(owners.withColumnRenamed("any", "fp"), owners.count(), bits_apart, scratch, hot_bucket))
+    left = found.join(owners.select(F.col("any").alias("a"), F.col("owner").alias("x")), "a")
+    both = left.join(owners.select(F.col("any").alias("b"), F.col("owner").alias("y")), "b")
+    return shared.unionByName(both.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
+
+
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits_apart: int = BITS_APART, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET, soft_bits: int = 0) -> DataFrame:
     """One row per document: doc_id, fp (as a signed long), component_id. bits_apart is even."""
     if bits_apart % 2:
         raise ValueError("bits_apart must be even: hot buckets meet halfway")
     scratch = Scratch(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.save(narrow.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"))
+    rows = narrow.mapInArrow(_fingerprints(shingle, soft_bits), "doc_id long, fp long, soft array<long>")
+    rows = scratch.save(rows if soft_bits else rows.drop("soft"))
     prints = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")))
     n = prints.count()
-    roots = scratch.save(connected_components(links(prints, n, bits_apart, scratch, hot_bucket), scratch))
+    found = _soft_links(rows, bits_apart, scratch, hot_bucket) if soft_bits else links(prints, n, bits_apart, scratch, hot_bucket)
+    roots = scratch.save(connected_components(found, scratch))
     rooted = scratch.save(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n_rows", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_prints"))
-    named = scratch.save(named)
+    named = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_prints")))
     known = scratch.save(join_by_key(rooted, named, ["root"], "n_prints", n).select("fp", "n_rows", "component_id"))
-    return join_by_key(rows, known, ["fp"], "n_rows", rows.count()).select("doc_id", "fp", "component_id")
+    return join_by_key(rows.select("doc_id", "fp"), known, ["fp"], "n_rows", rows.count()).select("doc_id", "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, bits_apart: int = BITS_APART, soft_bits: int = SOFT_BITS) -> DataFrame:
+    """The documents with all their columns, but of each group only the one with the smallest doc_id; of rows that repeat a
+    doc_id one stays, and a null id stays only where its group has no other."""
+    groups = Scratch(docs.sparkSession).save(simhash_groups(docs, shingle, bits_apart, soft_bits=soft_bits).select("doc_id", "component_id"))
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    few = gone.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    again = groups.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept if again else kept.dropDuplicates(["doc_id"])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
