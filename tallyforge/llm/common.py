@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.storage import Scratch as Scratch
+
 #: ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,39 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Only where the session names none, as in tests, a new one."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="tallyforge-")
-        sc.setCheckpointDir(named)
-    return named
-
-
-class Scratch:
-    """Tables written to the shared folder. They cut lineage and survive the loss of executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Remove tables that no later step reads."""
-        for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner see which finished shuffles nothing refers to any more, so that their files go."""
     import gc
