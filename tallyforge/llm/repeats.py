@@ -32,7 +32,9 @@ from tallyforge.llm.common import Scratch, join_by_key, release_shuffles, table
 DEPTH, KEY, CELL = 200, 64, 8
 #: Windows that are looked at together, so that memory doesn't follow a text's length.
 CHUNK = 1 << 20
-#: A window is moved to another owner at most REACH bytes on.
+#: Up to so many keys of texts, at 12 bytes, are broadcast.
+BROADCAST_ROWS = 500_000
+#: How far a window's anchor may be from its start.
 REACH = DEPTH - KEY
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _DOC = "doc long, print int"
@@ -150,9 +152,27 @@ def _spans(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "print", start.alias("start"), (start + F.shiftright("spot", 8).bitwiseAND(255) + (DEPTH - 1)).alias("end"))
 
 
+def _copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, print, n_bytes and whether it's the first, of all texts that occur more than once in whole."""
+    sums = [F.xxhash64("text"), F.xxhash64("text", F.lit("again"))]
+    rows = scratch.save(docs.select("doc", "print", F.octet_length("text").alias("n_bytes"), sums[0].alias("h1"), sums[1].alias("h2")))
+    groups = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "print")).alias("first"))
+    groups = scratch.save(groups.where("n > 1"))
+    found = join_by_key(rows, groups, ["h1", "h2"], "n", rows.count()).where("n is not null")
+    return scratch.save(found.select("doc", "print", "n_bytes", (F.struct("doc", "print") == F.col("first")).alias("is_first")).distinct())
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc, print and spans (start, end in bytes; may overlap) of all texts with a repeated window; of doc, print and text."""
+    """doc, print and spans (start, end in bytes; may overlap) of all texts with a repeated window; of doc, print and text.
+
+    A text that occurs more than once is repeated in whole; only its first copy goes through the passes, for others that
+    share a part of it.
+    """
     whole = docs.where(F.octet_length("text") >= DEPTH)
+    copies = _copies(whole, scratch)
+    others = copies.where("not is_first").select("doc", "print")
+    few = others.count() <= BROADCAST_ROWS
+    whole = whole.join(F.broadcast(others) if few else others, ["doc", "print"], "left_anti")
     anchored = scratch.save(whole.mapInArrow(_by_anchor, f"digit long, hull long, {_DOC}, spot long"))
     done, left = _pass(anchored, scratch)
     spots = left.groupBy("doc", "print").agg(F.collect_set("spot").alias("spots"))  # at most a text's own
@@ -166,7 +186,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     each = scratch.save(each.select("digit", "window", "doc", "print", place.alias("spot")))
     same = scratch.save(each.groupBy("digit", "window").agg(F.count("*").alias("n")).where("n > 1"))
     windows = join_by_key(each, same, ["digit", "window"], "n", each.count()).where("n is not null")
-    spans = _spans(done.select("doc", "print", "spot")).unionByName(_spans(done_cells.select("doc", "print", "spot"))).unionByName(_spans(windows.select("doc", "print", "spot")))
+    spans = _spans(done).unionByName(_spans(done_cells)).unionByName(_spans(windows))
+    spans = spans.unionByName(copies.select("doc", "print", F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("end")))
     out = scratch.save(spans.groupBy("doc", "print").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     release_shuffles(docs.sparkSession)
     return out
