@@ -94,6 +94,17 @@ def _hash(data: bytes, seed: int) -> int:
     return xxhash.xxh64_intdigest(data, seed)
 
 
+def _folded(digit: np.ndarray, hull: np.ndarray) -> np.ndarray:
+    """For the first of entries that agree in digit and hull, how many there are; for the others 0."""
+    order = np.lexsort((hull, digit))
+    new = np.ones(len(order), bool)
+    new[1:] = (digit[order][1:] != digit[order][:-1]) | (hull[order][1:] != hull[order][:-1])
+    at = np.flatnonzero(new)
+    out = np.zeros(len(order), "i4")
+    out[order[at]] = np.diff(at, append=len(order))
+    return out
+
+
 def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -104,11 +115,12 @@ def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for held, x in zip(out, (digit, hull, np.full(len(digit), doc, "i8"), np.full(len(digit), print_, "i4"), _packed(first, count, reach)), strict=True):
                 held.append(x)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["digit", "hull", "doc", "print", "spot"])
+            columns = [np.concatenate(x) for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, _folded(*columns[:2]))], ["digit", "hull", "doc", "print", "spot", "n"])
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["digit", "hull", "doc", "print", "spot", "windows"]
+    names = ["digit", "hull", "doc", "print", "spot", "windows", "n"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     for batch in batches:
@@ -126,24 +138,32 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((signed(_hash(common, cell)), signed(_hash(text[first : end + DEPTH], anchor - first)), doc, print_, spot, windows))
                     first = end + 1
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(_folded(columns[0].to_numpy(), columns[1].to_numpy()))], names)
+
 
+def _pass(entries: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of a written table of entries: those that are done as their hull is repeated, and those to spread out further.
 
-def _pass(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of a written table of entries: those that are done as their hull is repeated, and those to spread out further. One
+    Entries that agree within a batch of texts are folded: n counts them at the first, and the others (n = 0) are done. One
     entry of each repeated hull goes on too where its digit has other hulls, as windows of these may be repeated in it."""
-    total, columns = rows.count(), rows.columns
-    alike = scratch.save(rows.groupBy("digit").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = scratch.save(join_by_key(rows, alike, ["digit"], "n", total).where("n is not null"))
-    scratch.drop(rows, alike)
-    release_shuffles(rows.sparkSession)
+    columns = [c for c in entries.columns if c != "n"]
+    rows, spark = entries.where("n > 0"), entries.sparkSession
+    total = rows.count()
+    alike = rows.groupBy("digit").agg(F.sum("n").alias("n_digit"), F.count("*").alias("n_rows")).where("n_digit > 1")
+    alike = scratch.save(alike)
+    shared = scratch.save(join_by_key(rows, alike, ["digit"], "n_rows", total).where("n_rows is not null").drop("n_rows"))
+    scratch.drop(alike)
+    release_shuffles(spark)
     one = F.min(F.struct(*(c for c in columns if c not in ("digit", "hull")))).alias("one")
-    hulls = scratch.save(shared.groupBy("digit", "hull").agg(F.count("*").alias("n_hull"), F.first("n").alias("n"), one).where("n_hull > 1"))
-    judged = scratch.save(join_by_key(shared.drop("n"), hulls.select("digit", "hull", "n_hull"), ["digit", "hull"], "n_hull", total))
-    going_on = scratch.save(hulls.where("n_hull < n").select("digit", "hull", "one.*"))
+    hulls = shared.groupBy("digit", "hull").agg(F.sum("n").alias("n_hull"), F.count("*").alias("n_rows"), F.first("n_digit").alias("n_digit"), one)
+    hulls = scratch.save(hulls.where("n_hull > 1"))
+    judged = scratch.save(join_by_key(shared.select(*columns), hulls.select("digit", "hull", "n_rows"), ["digit", "hull"], "n_rows", total))
+    going_on = scratch.save(hulls.where("n_hull < n_digit").select("digit", "hull", "one.*"))
     scratch.drop(shared, hulls)
-    release_shuffles(judged.sparkSession)
-    return judged.where("n_hull is not null").drop("n_hull"), judged.where("n_hull is null").select(*columns).unionByName(going_on)
+    release_shuffles(spark)
+    done = judged.where("n_rows is not null").select(*columns).unionByName(entries.where("n = 0").select(*columns))
+    return done, judged.where("n_rows is null").select(*columns).unionByName(going_on.select(*columns))
 
 
 def _spans(rows: DataFrame) -> DataFrame:
@@ -173,11 +193,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     others = copies.where("not is_first").select("doc", "print")
     few = others.count() <= BROADCAST_ROWS
     whole = whole.join(F.broadcast(others) if few else others, ["doc", "print"], "left_anti")
-    anchored = scratch.save(whole.mapInArrow(_by_anchor, f"digit long, hull long, {_DOC}, spot long"))
+    anchored = scratch.save(whole.mapInArrow(_by_anchor, f"digit long, hull long, {_DOC}, spot long, n int"))
     done, left = _pass(anchored, scratch)
     spots = left.groupBy("doc", "print").agg(F.collect_set("spot").alias("spots"))  # at most a text's own
     again = whole.join(spots, ["doc", "print"]).select("doc", "print", "text", "spots")
-    cells = scratch.save(again.mapInArrow(_by_cell, f"digit long, hull long, {_DOC}, spot long, windows array<long>"))
+    cells = scratch.save(again.mapInArrow(_by_cell, f"digit long, hull long, {_DOC}, spot long, windows array<long>, n int"))
     release_shuffles(docs.sparkSession)
     done_cells, left_cells = _pass(cells, scratch)
     each = left_cells.select("digit", "doc", "print", F.posexplode("windows").alias("i", "window"), "spot")
