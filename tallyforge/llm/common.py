@@ -10,6 +10,7 @@ from tallyforge.storage import Scratch as Scratch
 #: ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TEXT_ROWS = 2000
 #: A key is hot when more than one row in so many has it; there are then at most so many hot keys.
 HOT_SHARE = 1000
 
@@ -18,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Python workers get at most so many texts at a time from now on in this session. Spark's own default of 10000 rows, up to
+    64 MB, is held several times over while a batch is read, decoded and answered."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner see which finished shuffles nothing refers to any more, so that their files go."""
     import gc

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch, join_by_key, table
+from tallyforge.llm.common import Scratch, join_by_key, table, text_batches
 
 PROBES = 4
 SEGMENT_BITS = 20
@@ -117,6 +117,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, sha (of the normalised text), keep_id, group_size, kept."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
+    text_batches(spark)
     digests = scratch.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_digest, "doc_id long, row long, sha binary"))
     n = digests.count()
     bits, twice = repeated_filter(digests, n, max_filter_bits)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import Scratch, table
+from tallyforge.llm.common import Scratch, table, text_batches
 
 MIN_CHARS = 10
 SHARD_KEYS = 1 << 16
@@ -247,6 +247,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents with text cut, and columns _n_lines (before) and _n_dropped."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
+    text_batches(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     arrays, shards = line_arrays(narrow, scratch)
     sweeps, room = [[]], sweep_bytes

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch, table
+from tallyforge.llm.common import Scratch, table, text_batches
 
 CONTEXT, BUCKETS, TOKEN_BUDGET = 2048, 16, 32_768
 ROWS_PER_SALT = 1 << 18
@@ -70,6 +70,7 @@ def pack(docs: DataFrame, context: int = CONTEXT, buckets: int = BUCKETS, token_
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if tokenizer_path:
+        text_batches(docs.sparkSession)
         rows = rows.mapInArrow(_tokenized(tokenizer_path), "doc_id long, n long")
     else:
         rows = rows.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import table, text_batches
 
 BITS = 18
 SAMPLE_ROWS = 6000
@@ -100,6 +100,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
     """Weights and bias, learnt from labelled rows that aren't held out."""
+    text_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("y")).where("_id is not null and y is not null")
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     chosen = known.withColumn("order", F.xxhash64("_id", F.lit("sample"))).orderBy("order", "_id").limit(sample_rows)
@@ -116,6 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "_score") -> DataFrame:
     """The documents with a column of scores between 0 and 1."""
+    text_batches(docs.sparkSession)
     held, bias, at = docs.sparkSession.sparkContext.broadcast(model[0]), model[1], docs.columns.index(text_col)
     names = [*docs.columns, score_col]
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch, join_by_key, release_shuffles, table
+from tallyforge.llm.common import Scratch, join_by_key, release_shuffles, table, text_batches
 
 DEPTH, KEY, CELL = 200, 64, 8
 #: Windows that are looked at together, so that memory doesn't follow a text's length.
@@ -243,6 +243,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary: characters may be cut through)."""
     scratch = Scratch(docs.sparkSession)
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # rows that agree in both parts of the key have the same text, and so the same repeats
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("print"), text.alias("text"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch, join_by_key, table
+from tallyforge.llm.common import Scratch, join_by_key, table, text_batches
 from tallyforge.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -230,6 +230,7 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits_apart: int = BI
     if bits_apart % 2:
         raise ValueError("bits_apart must be even: hot buckets meet halfway")
     scratch = Scratch(docs.sparkSession)
+    text_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = narrow.mapInArrow(_fingerprints(shingle, soft_bits), "doc_id long, fp long, soft array<long>")
     rows = scratch.save(rows if soft_bits else rows.drop("soft"))

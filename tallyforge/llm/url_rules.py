@@ -35,7 +35,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES) -> Column:
     """The longest rule that fits, as a struct of rule and verdict, else null."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for h, p, verdict in sorted(rules, key=lambda r: len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
