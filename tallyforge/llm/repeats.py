@@ -119,51 +119,88 @@ def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, _folded(*columns[:2]))], ["digit", "hull", "doc", "print", "spot", "n"])
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["digit", "hull", "doc", "print", "spot", "windows", "n"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+def _cells(first: int, count: int, reach: int) -> Iterator[tuple[int, int, int]]:
+    """Some windows with one anchor, by cell: the cell, its first window here and its last."""
+    anchor, last = first + reach, first + count - 1
+    while first <= last:
+        cell = (anchor - first) // CELL
+        end = min(last, anchor - cell * CELL)
+        yield cell, first, end
+        first = end + 1
+
+
+def _common(text: bytes, anchor: int, cell: int) -> int:
+    """The digit of a cell: the bytes that all its windows have in common, whether they're here or not."""
+    start = anchor - cell * CELL
+    return _signed(_hash(text[start : start - CELL + 1 + DEPTH], cell))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[int, int, bytes, int, int, int]]]:
+    """By batch: doc, print, text, first, count and reach of each spot."""
     for batch in batches:
+        yield (
+            (doc, print_, text, *spot)
+            for doc, print_, text, spots in zip(*(batch.column(i).to_pylist() for i in range(2)), (x.as_py() for x in batch.column(2).cast(pa.binary())), batch.column(3), strict=True)
+            for spot in zip(*(x.tolist() for x in _unpacked(np.array(spots.as_py(), "i8"))), strict=True)
+        )
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    for spots in _spots(batches):
         rows = []
-        for doc, print_, text, spots in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
-            text = text.as_py()
-            for first, count, reach in zip(*(x.tolist() for x in _unpacked(np.array(spots.as_py(), "i8"))), strict=True):
-                anchor, last = first + reach, first + count - 1
-                while first <= last:
-                    cell = (anchor - first) // CELL
-                    end = min(last, anchor - cell * CELL)  # the last window of the cell
-                    common = text[anchor - cell * CELL : anchor - cell * CELL - CELL + 1 + DEPTH]
-                    windows = [signed(_hash(text[p : p + DEPTH], 0)) for p in range(first, end + 1)]
-                    spot = (first << 16) | ((end - first + 1) << 8) | (anchor - first)
-                    rows.append((signed(_hash(common, cell)), signed(_hash(text[first : end + DEPTH], anchor - first)), doc, print_, spot, windows))
-                    first = end + 1
+        for doc, print_, text, first, count, reach in spots:
+            anchor = first + reach
+            for cell, a, b in _cells(first, count, reach):
+                hull = _signed(_hash(text[a : b + DEPTH], anchor - a))
+                rows.append((_common(text, anchor, cell), hull, doc, print_, (a << 16) | ((b - a + 1) << 8) | (anchor - a)))
         if rows:
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(_folded(columns[0].to_numpy(), columns[1].to_numpy()))], names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(_folded(columns[0].to_numpy(), columns[1].to_numpy()))], ["digit", "hull", "doc", "print", "spot", "n"])
+
+
+def _by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    for spots in _spots(batches):
+        rows = []
+        for doc, print_, text, first, count, reach in spots:
+            anchor = first + reach
+            for cell, a, b in _cells(first, count, reach):
+                common = _common(text, anchor, cell)
+                rows += [(common, _signed(_hash(text[p : p + DEPTH], anchor - p)), doc, print_, (p << 16) | (1 << 8) | (anchor - p)) for p in range(a, b + 1)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["digit", "window", "doc", "print", "spot"])
 
 
 def _pass(entries: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of a written table of entries: those that are done as their hull is repeated, and those to spread out further.
+    """Of a written table of entries, which is then removed: those that are done as their hull is repeated, and those to spread
+    out further.
 
     Entries that agree within a batch of texts are folded: n counts them at the first, and the others (n = 0) are done. One
     entry of each repeated hull goes on too where its digit has other hulls, as windows of these may be repeated in it."""
-    columns = [c for c in entries.columns if c != "n"]
+    columns = ["digit", "hull", "doc", "print", "spot"]
     rows, spark = entries.where("n > 0"), entries.sparkSession
     total = rows.count()
+    folded = scratch.save(entries.where("n = 0").select(*columns))
     alike = rows.groupBy("digit").agg(F.sum("n").alias("n_digit"), F.count("*").alias("n_rows")).where("n_digit > 1")
     alike = scratch.save(alike)
+    release_shuffles(spark)
     shared = scratch.save(join_by_key(rows, alike, ["digit"], "n_rows", total).where("n_rows is not null").drop("n_rows"))
-    scratch.drop(alike)
+    scratch.drop(entries, alike)
     release_shuffles(spark)
-    one = F.min(F.struct(*(c for c in columns if c not in ("digit", "hull")))).alias("one")
+    one = F.min(F.struct("doc", "print", "spot")).alias("one")
     hulls = shared.groupBy("digit", "hull").agg(F.sum("n").alias("n_hull"), F.count("*").alias("n_rows"), F.first("n_digit").alias("n_digit"), one)
     hulls = scratch.save(hulls.where("n_hull > 1"))
     judged = scratch.save(join_by_key(shared.select(*columns), hulls.select("digit", "hull", "n_rows"), ["digit", "hull"], "n_rows", total))
     going_on = scratch.save(hulls.where("n_hull < n_digit").select("digit", "hull", "one.*"))
     scratch.drop(shared, hulls)
     release_shuffles(spark)
-    done = judged.where("n_rows is not null").select(*columns).unionByName(entries.where("n = 0").select(*columns))
-    return done, judged.where("n_rows is null").select(*columns).unionByName(going_on.select(*columns))
+    done = judged.where("n_rows is not null").select(*columns).unionByName(folded)
+    return done, judged.where("n_rows is null").select(*columns).unionByName(going_on)
 
 
 def _spans(rows: DataFrame) -> DataFrame:
@@ -193,17 +230,18 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     others = copies.where("not is_first").select("doc", "print")
     few = others.count() <= BROADCAST_ROWS
     whole = whole.join(F.broadcast(others) if few else others, ["doc", "print"], "left_anti")
-    anchored = scratch.save(whole.mapInArrow(_by_anchor, f"digit long, hull long, {_DOC}, spot long, n int"))
-    done, left = _pass(anchored, scratch)
-    spots = left.groupBy("doc", "print").agg(F.collect_set("spot").alias("spots"))  # at most a text's own
-    again = whole.join(spots, ["doc", "print"]).select("doc", "print", "text", "spots")
-    cells = scratch.save(again.mapInArrow(_by_cell, f"digit long, hull long, {_DOC}, spot long, windows array<long>, n int"))
+    entry = f"digit long, hull long, {_DOC}, spot long, n int"
+
+    def with_spots(left: DataFrame) -> DataFrame:
+        spots = left.groupBy("doc", "print").agg(F.collect_set("spot").alias("spots"))  # at most a text's own
+        return whole.join(spots, ["doc", "print"]).select("doc", "print", "text", "spots")
+
+    done, left = _pass(scratch.save(whole.mapInArrow(_by_anchor, entry)), scratch)
+    cells = scratch.save(with_spots(left).mapInArrow(_by_cell, entry))
+    release_shuffles(docs.sparkSession)
+    done_cells, left = _pass(cells, scratch)
+    each = scratch.save(with_spots(left).mapInArrow(_by_window, f"digit long, window long, {_DOC}, spot long"))
     release_shuffles(docs.sparkSession)
-    done_cells, left_cells = _pass(cells, scratch)
-    each = left_cells.select("digit", "doc", "print", F.posexplode("windows").alias("i", "window"), "spot")
-    # a window's own place: one window, its distance to the anchor
-    place = (F.shiftleft(F.shiftright("spot", 16) + F.col("i"), 16)).bitwiseOR(F.lit(1 << 8)).bitwiseOR(F.col("spot").bitwiseAND(255) - F.col("i"))
-    each = scratch.save(each.select("digit", "window", "doc", "print", place.alias("spot")))
     same = scratch.save(each.groupBy("digit", "window").agg(F.count("*").alias("n")).where("n > 1"))
     windows = join_by_key(each, same, ["digit", "window"], "n", each.count()).where("n is not null")
     spans = _spans(done).unionByName(_spans(done_cells)).unionByName(_spans(windows))
