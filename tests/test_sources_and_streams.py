@@ -1,6 +1,7 @@
 """Readers, the fixed-record log, and streams that must equal the batch."""
 
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tallyforge.operators.rollup import rollup
 from tallyforge.schemas import EVENTS, NS_PER_DAY
 from tallyforge.sources import json_events, segments
 from tallyforge.sources.synthetic import synthetic_events
-from tallyforge.streaming import alert_stream, rollup_stream, windows
+from tallyforge.streaming import alert_stream, ingest_stream, monitoring, rollup_stream, windows
 from tests.test_operators import event, random_case, table
 
 
@@ -93,3 +94,45 @@ def test_windows_are_periods(spark):
     rows = table(spark, [event(i, ts=1_704_067_200 * 10**9 + i * NS_PER_DAY) for i in range(10)])
     weeks = windows.windowed_counts(rows, "week").orderBy("window").collect()
     assert [r["count"] for r in weeks] == [7, 3] and weeks[0].window.start.weekday() == 0
+
+
+def test_json_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('[{"account_id":1,"metric_code":"a","value":5},{"account_id":2,"metric_code":"b","delivery_mode":"sync"}]\n')
+    stream = ingest_stream.read_json_stream(spark, str(tmp_path / "in"))
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.account_id, r.value, r.is_sync) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 5, True), (2, 0, True)]
+
+
+def test_dedup_stream_keeps_late_events_or_drops_them(spark, tmp_path):
+    hour = 3_600 * 10**9
+    base = 1_704_067_200 * 10**9
+    for i, ts in enumerate((base + 10 * hour, base + 20 * hour, base + 10 * hour, base)):
+        spark.createDataFrame([event(i, ts=ts)], EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    found = {}
+    for late in ("keep", "drop"):
+        stream = ingest_stream.dedup_stream(rollup_stream.read_events_stream(spark, str(tmp_path / "in"), 1), late)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / late)).option("checkpointLocation", str(tmp_path / f"c{late}")).trigger(availableNow=True).start().awaitTermination()
+        found[late] = {r.ts_ns for r in spark.read.parquet(str(tmp_path / late)).collect()}
+    assert found["keep"] == {base, base + 10 * hour, base + 20 * hour} and base not in found["drop"]
+    with pytest.raises(ValueError):
+        ingest_stream.dedup_stream(spark.createDataFrame([], EVENTS), "other")
+
+
+def test_alerts_are_pushed_and_streams_counted(spark, tmp_path):
+    rows, metrics = random_case(9, 60)
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    counters, got = monitoring.StreamCounters(), []
+    spark.streams.addListener(counters)
+    try:
+        stream = alert_stream.alert_stream(rollup_stream.read_events_stream(spark, str(tmp_path / "in")), metrics_table(spark, metrics))
+        monitoring.push_alerts(stream, lambda batch, page: got.extend(page), str(tmp_path / "c"), page=3).awaitTermination()
+        for _ in range(100):
+            if counters.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counters)
+    assert len(got) == alerts(table(spark, rows), metrics_table(spark, metrics)).count() > 0
+    assert "stream_rows_total 60" in counters.render() and counters.health()["status"] == "ok"
