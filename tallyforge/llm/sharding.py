@@ -4,9 +4,9 @@ Length, source and language are quantised to BITS bits each; rows are ordered by
 order is cut into runs of equal row counts (law ``rows``: counts at most one apart). A run is compact in all three
 dimensions, so a filter on any of them leaves out most files.
 
-The rank of a row is found without a global sort: rows are counted by cell and salt (the number of salts follows the number of
-rows, so that even a cell that holds a third of all rows is split), the counts are summed up along the curve, and rows are
-numbered within cell and salt. There are at most 2 ** (3 * BITS) cells, so the one window over all cells is bounded.
+The rank of a row is found without a global sort: rows are counted by cell, large cells are split by salt (so that even one
+that holds a third of all rows isn't a task's alone), the counts are summed up along the curve, and rows are numbered within
+cell and salt. There are at most 2 ** (3 * BITS) cells, so the one window over all cells is bounded.
 
 Defined cases: a null text counts as none (8 bytes), null source or language as an empty one, rows are ordered within a cell
 and salt by doc_id (nulls first), checksum and size, so repeated rows take neighbouring slots; an empty table gives no rows;
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import Scratch, table
 
 DIMS, BITS, SHARDS = 3, 5, 24
-ROWS_PER_SALT = 1 << 18
+ROWS_PER_SALT = 1 << 10
 
 
 def _gray(i: int) -> int:
@@ -73,16 +73,15 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     rows = rows.withColumn("x", length_class(F.col("size")))
     rows = scratch.save(rows.withColumn("curve", hilbert_index("x", "y", "z")).drop("x", "y", "z"))
     n = rows.count()
-    salts = -(-max(n, 1) // ROWS_PER_SALT)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(salts)).cast("int"))
-    parts = rows.groupBy("curve", "salt").agg(F.count("*").alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = parts.groupBy("curve").agg(F.sum("n").alias("n"))  # at most 2 ** (DIMS * BITS) rows
-    cells = cells.select("curve", before(Window.orderBy("curve")).alias("cell_start"))
-    parts = parts.select("curve", "salt", before(Window.partitionBy("curve").orderBy("salt")).alias("part_start"))
-    starts = parts.join(F.broadcast(cells), "curve").select("curve", "salt", (F.col("cell_start") + F.col("part_start")).alias("start"))
+    cells = rows.groupBy("curve").agg(F.count("*").alias("n"))  # at most 2 ** (DIMS * BITS) rows
+    cells = scratch.save(cells.select("curve", F.expr(f"(n - 1) div {ROWS_PER_SALT} + 1").alias("salts"), before(Window.orderBy("curve")).alias("cell_start")))
+    salted = rows.join(F.broadcast(cells), "curve").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("salts")))
+    parts = salted.groupBy("curve", "salt", "cell_start").agg(F.count("*").alias("n"))
+    inside = before(Window.partitionBy("curve").orderBy("salt"))
+    starts = parts.select("curve", "salt", (F.col("cell_start") + inside).alias("start"))
     order = Window.partitionBy("curve", "salt").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("nth", F.row_number().over(order) - 1).join(starts, ["curve", "salt"])
+    ranked = salted.withColumn("nth", F.row_number().over(order) - 1).join(starts, ["curve", "salt"])
     ranked = ranked.withColumn("rank", F.col("start") + F.col("nth"))
     out = ranked.withColumn("shard", F.expr(f"int(rank * {shards} div {max(n, 1)})"))
     slot = F.expr(f"rank - (shard * {n}L + {shards - 1}) div {shards}")
