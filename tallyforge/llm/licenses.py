@@ -56,24 +56,25 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col).cast("string")).alias("words"))
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("print"), words(F.col(text_col).cast("string")).alias("words"))
     # the sentinel gram keeps documents without any hit
-    rolled = cut.select("doc_id", "row", F.size("words").alias("n_words"), F.posexplode(F.concat(grams("words", K), F.array(F.lit(SENTINEL).cast("long")))).alias("pos", "gram"))
+    rolled = cut.select("doc_id", "print", F.size("words").alias("n_words"), F.posexplode(F.concat(grams("words", K), F.array(F.lit(SENTINEL).cast("long")))).alias("pos", "gram"))
     hits = rolled.join(F.broadcast(_templates(docs.sparkSession)), "gram")
-    key = ["row", "doc_id", "n_words", "template", "label", "base", "n_grams"]
-    diagonals = hits.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("tpos").alias("seen"))
+    key = ["doc_id", "print", "n_words", "template", "label", "base", "n_grams"]
+    diagonals = hits.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("times"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("tpos").alias("seen"))
+    diagonals = diagonals.withColumn("votes", F.size("seen"))
     place = F.col("base") & (F.col("votes") == F.col("n_grams"))
     whole = F.when(F.col("template") < 0, True).when(F.col("base"), place).otherwise(F.col("votes") > 1)
     strong = diagonals.where(whole)
-    by = Window.partitionBy("row", "template").orderBy("diagonal")
+    by = Window.partitionBy("doc_id", "print", "template").orderBy("diagonal")
     new = F.when(F.col("base") | (F.col("template") < 0), 1).when(F.col("diagonal") - F.lag("diagonal").over(by) <= MERGE_GAP, 0).otherwise(1)
     runs = strong.withColumn("new", new).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy(*key, "run").agg(F.min("diagonal").alias("start"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("covered"))
+    spans = runs.groupBy(*key, "run").agg(F.min("diagonal").alias("start"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("covered"), F.max("times").alias("times"))
     cover = F.col("covered") / F.col("n_grams")
     verified = (F.col("template") >= 0) & (cover >= MIN_COVER) & (F.col("hi") - F.col("lo") <= 2 * F.col("n_grams"))
     base = F.col("base")
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
-    out = spans.groupBy("row", "doc_id").agg(
+    out = spans.groupBy("doc_id", "print").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
@@ -81,8 +82,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         listed(base).alias("base_labels"),
         listed(verified).alias("labels"),
         F.round(F.coalesce(F.max(F.when(verified, cover)), F.lit(0.0)), 6).alias("score"),
+        F.max(F.when(F.col("template") < 0, F.col("times"))).cast("int").alias("times"),
     )
-    return out.drop("row")
+    # rows that repeat were folded; their result is given as often
+    return out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("_", "times", "print")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
