@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_FILE = 250_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir. Only where it names none, as in tests, a new one."""
@@ -28,7 +30,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self._n = spark, new_dir(spark), 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """The table, written and read back. ``rows``, a bound on its rows where one is known, keeps it from being written as
+        many small files: it's then cut into no more parts than cores, or than it takes to hold ROWS_PER_FILE rows each."""
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
         self._n += 1
         path = f"{self.root}/{self._n:03d}"
         df.write.parquet(path)
