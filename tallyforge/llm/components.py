@@ -52,20 +52,20 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
     now = scratch.save(edges.toDF("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long").distinct())
-    before = None
+    before, n = None, None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == before or not seen[0]:
             break
-        before = seen
+        before, n = seen, 2 * seen[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = smallest(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.save(large)
+        large = scratch.save(large, n)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = smallest(down)
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        after = scratch.save(small.where("u <> v").distinct())
+        after = scratch.save(small.where("u <> v").distinct(), n)
         scratch.drop(now, large)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

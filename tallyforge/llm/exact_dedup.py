@@ -127,7 +127,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = probed.where("again").drop("again")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     groups = again.groupBy("sha").agg(F.count("*").alias("group_size"), first.alias("first"))
-    groups = scratch.save(groups.select("sha", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")))
+    groups = scratch.save(groups.select("sha", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")), n)
     out = through.unionByName(join_by_key(again, groups, ["sha"], "group_size", n))
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
 

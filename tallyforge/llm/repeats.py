@@ -187,16 +187,16 @@ def _pass(entries: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     total = rows.count()
     folded = scratch.save(entries.where("n = 0").select(*columns))
     alike = rows.groupBy("digit").agg(F.sum("n").alias("n_digit"), F.count("*").alias("n_rows")).where("n_digit > 1")
-    alike = scratch.save(alike)
+    alike = scratch.save(alike, total)
     release_shuffles(spark)
-    shared = scratch.save(join_by_key(rows, alike, ["digit"], "n_rows", total).where("n_rows is not null").drop("n_rows"))
+    shared = scratch.save(join_by_key(rows, alike, ["digit"], "n_rows", total).where("n_rows is not null").drop("n_rows"), total)
     scratch.drop(entries, alike)
     release_shuffles(spark)
     one = F.min(F.struct("doc", "print", "spot")).alias("one")
     hulls = shared.groupBy("digit", "hull").agg(F.sum("n").alias("n_hull"), F.count("*").alias("n_rows"), F.first("n_digit").alias("n_digit"), one)
-    hulls = scratch.save(hulls.where("n_hull > 1"))
-    judged = scratch.save(join_by_key(shared.select(*columns), hulls.select("digit", "hull", "n_rows"), ["digit", "hull"], "n_rows", total))
-    going_on = scratch.save(hulls.where("n_hull < n_digit").select("digit", "hull", "one.*"))
+    hulls = scratch.save(hulls.where("n_hull > 1"), total)
+    judged = scratch.save(join_by_key(shared.select(*columns), hulls.select("digit", "hull", "n_rows"), ["digit", "hull"], "n_rows", total), total)
+    going_on = scratch.save(hulls.where("n_hull < n_digit").select("digit", "hull", "one.*"), total)
     scratch.drop(shared, hulls)
     release_shuffles(spark)
     done = judged.where("n_rows is not null").select(*columns).unionByName(folded)
@@ -214,9 +214,10 @@ def _copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sums = [F.xxhash64("text"), F.xxhash64("text", F.lit("again"))]
     rows = scratch.save(docs.select("doc", "print", F.octet_length("text").alias("n_bytes"), sums[0].alias("h1"), sums[1].alias("h2")))
     groups = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "print")).alias("first"))
-    groups = scratch.save(groups.where("n > 1"))
-    found = join_by_key(rows, groups, ["h1", "h2"], "n", rows.count()).where("n is not null")
-    return scratch.save(found.select("doc", "print", "n_bytes", (F.struct("doc", "print") == F.col("first")).alias("is_first")).distinct())
+    n = rows.count()
+    groups = scratch.save(groups.where("n > 1"), n)
+    found = join_by_key(rows, groups, ["h1", "h2"], "n", n).where("n is not null")
+    return scratch.save(found.select("doc", "print", "n_bytes", (F.struct("doc", "print") == F.col("first")).alias("is_first")).distinct(), n)
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -242,8 +243,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     done_cells, left = _pass(cells, scratch)
     each = scratch.save(with_spots(left).mapInArrow(_by_window, f"digit long, window long, {_DOC}, spot long"))
     release_shuffles(docs.sparkSession)
-    same = scratch.save(each.groupBy("digit", "window").agg(F.count("*").alias("n")).where("n > 1"))
-    windows = join_by_key(each, same, ["digit", "window"], "n", each.count()).where("n is not null")
+    n = each.count()
+    same = scratch.save(each.groupBy("digit", "window").agg(F.count("*").alias("n")).where("n > 1"), n)
+    windows = join_by_key(each, same, ["digit", "window"], "n", n).where("n is not null")
     spans = _spans(done).unionByName(_spans(done_cells)).unionByName(_spans(windows))
     spans = spans.unionByName(copies.select("doc", "print", F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("end")))
     out = scratch.save(spans.groupBy("doc", "print").agg(F.collect_set(F.struct("start", "end")).alias("spans")))

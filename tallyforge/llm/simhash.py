@@ -197,7 +197,7 @@ def links(prints: DataFrame, n: int, bits_apart: int, scratch: Scratch, hot_buck
         probes = scratch.save(probes)
     else:
         probes, sizes = index, sizes.where("size > 1")
-    sizes = scratch.save(sizes)
+    sizes = scratch.save(sizes, n * len(parts))
     sized = scratch.save(join_by_key(probes, sizes, ["part", "value"], "size", n * len(parts)).where("size is not null"))
     cold = sized.where(F.col("size") <= hot_bucket).drop("size")
     candidates = cold.join(index.withColumnsRenamed({"fp": "other", "own": "other_own"}), ["part", "value"])
@@ -234,13 +234,13 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits_apart: int = BI
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = narrow.mapInArrow(_fingerprints(shingle, soft_bits), "doc_id long, fp long, soft array<long>")
     rows = scratch.save(rows if soft_bits else rows.drop("soft"))
-    prints = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")))
+    prints = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")), rows.count())
     n = prints.count()
     found = _soft_links(rows, bits_apart, scratch, hot_bucket) if soft_bits else links(prints, n, bits_apart, scratch, hot_bucket)
-    roots = scratch.save(connected_components(found, scratch))
-    rooted = scratch.save(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n_rows", F.coalesce("root", "fp").alias("root")))
-    named = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_prints")))
-    known = scratch.save(join_by_key(rooted, named, ["root"], "n_prints", n).select("fp", "n_rows", "component_id"))
+    roots = scratch.save(connected_components(found, scratch), n)
+    rooted = scratch.save(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n_rows", F.coalesce("root", "fp").alias("root")), n)
+    named = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_prints")), n)
+    known = scratch.save(join_by_key(rooted, named, ["root"], "n_prints", n).select("fp", "n_rows", "component_id"), n)
     return join_by_key(rows.select("doc_id", "fp"), known, ["fp"], "n_rows", rows.count()).select("doc_id", "fp", "component_id")
 
 
