@@ -34,11 +34,24 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 THRESHOLD = 0.3
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+_SPACE = re.compile(r"\s")
+#: Characters of a text whose words are held at a time; hashes of words that are remembered.
+BLOCK = 1 << 20
 _CACHE_ROWS = 300_000
 #: Features of 2-grams and 3-grams that end in the word they begin with, whatever the word.
 AGAIN = {1: zlib.crc32(b"w w"), 2: zlib.crc32(b"w * w")}
 
 
+def _blocks(text: str, block: int = BLOCK) -> Iterator[str]:
+    """A text in parts that end at white space, so that only the words of a part are held at a time."""
+    start = 0
+    while start < len(text):
+        space = _SPACE.search(text, start + block)
+        end = space.start() if space else len(text)
+        yield text[start:end]
+        start = end
+
+
 class Features:
     """Texts to sparse vectors of unit length. Hashes of words are remembered, up to a bound."""
 
@@ -46,21 +59,25 @@ class Features:
         self.mask, self.seen = (1 << bits) - 1, {}
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = _WORD.findall(text or "")
-        if not words:
+        ids = np.concatenate([np.empty(0, "i8"), *map(self._ids, _blocks(text or ""))])
+        if not len(ids):
             return np.empty(0, "i8"), np.empty(0)
-        seen = self.seen
-        if len(seen) > _CACHE_ROWS:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = zlib.crc32(w.encode("utf-8", "replace"))
-        ids = np.fromiter(map(seen.__getitem__, words), "i8", len(words))
         pairs = ((ids[:-1] * 0x9E3779B1) ^ (ids[1:] * 0x85EBCA77)) >> 15
         same = [np.full(int((ids[k:] == ids[:-k]).sum()), AGAIN[k], "i8") for k in AGAIN]
         spots, counts = np.unique(np.concatenate([ids, pairs, *same]) & self.mask, return_counts=True)
         return spots, counts / np.sqrt((counts.astype("f8") ** 2).sum())
 
 
+    def _ids(self, text: str) -> np.ndarray:
+        """The hashes of a block's words."""
+        words, seen = _WORD.findall(text), self.seen
+        if len(seen) > _CACHE_ROWS:
+            seen.clear()
+        for w in set(words).difference(seen):
+            seen[w] = zlib.crc32(w.encode("utf-8", "replace"))
+        return np.fromiter(map(seen.__getitem__, words), "i8", len(words))
+
+
 class Ftrl:
     """Per-coordinate FTRL-proximal for logistic loss (McMahan et al., 2013), with an unregularised bias."""
 

@@ -26,6 +26,7 @@ ids of it are null; an empty table gives no rows; other columns are ignored, wha
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 from math import comb
@@ -42,35 +43,47 @@ from tallyforge.llm.components import connected_components
 BITS, SEED = 64, 42
 SHINGLE, BITS_APART = 3, 2
 HOT_BUCKET = 64
+#: Bytes of a text whose words are held at a time.
+BLOCK = 1 << 20
 #: What dropping near copies takes: 16 fingerprints a text.
 SOFT_BITS = 4
 #: Up to so many ids, at 16 bytes, are broadcast.
 BROADCAST_ROWS = 500_000
 #: Costs of filing or probing one key and of verifying one candidate, in the same unit.
 KEY_COST, CANDIDATE_COST = 1.0, 0.2
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little").astype("i8")
 
 
-def shingles(text: bytes, k: int) -> list[bytes]:
-    """Each k neighbouring words, repeats included; of fewer words, all of them as one."""
-    words = text.lower().split()
-    if len(words) <= k:
-        return [b" ".join(words)] if words else []
-    whole = b" ".join(words)
-    ends = list(accumulate(map(len, words), lambda end, n: end + 1 + n))
-    starts = [0, *(e + 1 for e in ends)]
-    return [whole[a:b] for a, b in zip(starts, ends[k - 1 :], strict=False)]
+def shingles(text: bytes, k: int, block: int = BLOCK) -> Iterator[list[bytes]]:
+    """Each k neighbouring words, repeats included; of fewer words, all of them as one. They come in lists of a block's words,
+    as those of a very long text take many times its own size."""
+    text, start, carry, none = text.lower(), 0, [], True
+    while start < len(text):
+        end = start + block
+        if end < len(text):
+            space = _SPACE.search(text, end)
+            end = space.start() if space else len(text)
+        words, start = carry + text[start:end].split(), end
+        if len(words) >= k:
+            whole = b" ".join(words)
+            ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n))
+            yield [whole[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends[k - 1 :], strict=False)]
+            words, none = words[len(words) - k + 1 :], False
+        carry = words
+    if none and carry:
+        yield [b" ".join(carry)]
 
 
 def bit_counts(text: bytes, k: int) -> tuple[np.ndarray, int]:
     """By bit, how many shingle hashes set it; how many shingles there are."""
-    cut = shingles(text, k)
-    counts = np.zeros((8, 8), "i8")
-    for at in range(0, len(cut), 1 << 16):
-        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in cut[at : at + (1 << 16)]], "<u8")
+    counts, n = np.zeros((8, 8), "i8"), 0
+    for cut in shingles(text, k):
+        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in cut], "<u8")
         spots = hashes.view("u1").reshape(-1, 8) + np.arange(8) * 256
         counts += np.bincount(spots.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
-    return counts.ravel(), len(cut)
+        n += len(cut)
+    return counts.ravel(), n
 
 
 def fingerprints(text: bytes, k: int = SHINGLE, soft_bits: int = 0) -> list[int]:

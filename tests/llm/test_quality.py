@@ -66,3 +66,10 @@ def test_ftrl_separates():
         model.learn(np.array([y, 2]), np.array([1.0, 0.5]), y)
     w = model.weights()
     assert w[1] > 0.5 > -0.5 > w[0] and (w[3:] == 0).all()
+
+
+def test_blocks_of_long_texts_lose_no_word():
+    text = "ab, cd!!  ef\n12 gh " * 30
+    for block in (1, 5, 64):
+        parts = list(quality._blocks(text, block))
+        assert "".join(parts) == text and [w for p in parts for w in quality._WORD.findall(p)] == quality._WORD.findall(text)

@@ -140,3 +140,13 @@ def test_chance_of_near_values():
     q = np.array([0.1, 0.5, 0.3])
     every = [(sum(x), np.prod([p if b else 1 - p for b, p in zip(x, q, strict=True)])) for x in itertools.product((0, 1), repeat=3)]
     assert simhash.near_chance(q, 2) == pytest.approx([sum(p for n, p in every if n <= t) for t in range(3)])
+
+
+def test_blocks_of_long_texts_give_the_same_shingles():
+    r = random.Random(12)
+    text = b"".join(r.choice([b"a", b"bc", b" ", b"\t", b"\n ", b"D"]) for _ in range(400))
+    words = text.lower().split()
+    for k, block in itertools.product((1, 2, 3, 5), (1, 7, 50, 10_000)):
+        got = [s for part in simhash.shingles(text, k, block) for s in part]
+        assert got == [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+    assert [s for part in simhash.shingles(b" one  two ", 3, 2) for s in part] == [b"one two"] and list(simhash.shingles(b" \n", 3, 1)) == []
