@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyforge.functions.periods import period_of, period_range
 from tallyforge.schemas import AGG_TYPES, MAX_FILTER_VALUES, MAX_FILTERS, MAX_THRESHOLDS, METRICS, PERIOD_TYPES
@@ -46,17 +49,22 @@ class Metric:
 
 
 def metrics_table(spark: SparkSession, metrics: list[Metric]) -> DataFrame:
+    """The definitions as a local relation, whose size the optimizer knows: a join with it broadcasts it, not the events."""
     rows = [
-        (m.code, m.agg_type, m.field_name, m.recurring, m.period_type, m.billing_cycle_day, m.period_ns, [(k, v) for k, v in m.filters.items()], [(t.code, _decimal(t.value), t.recurring) for t in m.thresholds])
+        {
+            "metric_code": m.code,
+            "agg_type": m.agg_type,
+            "field_name": m.field_name,
+            "recurring": m.recurring,
+            "period_type": m.period_type,
+            "billing_cycle_day": m.billing_cycle_day,
+            "period_ns": m.period_ns,
+            "filters": [{"key": k, "values": v} for k, v in m.filters.items()],
+            "thresholds": [{"code": t.code, "value": Decimal(t.value), "recurring": t.recurring} for t in m.thresholds],
+        }
         for m in metrics
     ]
-    return spark.createDataFrame(rows, METRICS)
-
-
-def _decimal(x: int):
-    from decimal import Decimal
-
-    return Decimal(x)
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(METRICS)), METRICS)
 
 
 def fold(changes: DataFrame, key: str = "metric_code", order: str = "version", deleted: str = "deleted") -> DataFrame:

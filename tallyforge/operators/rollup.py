@@ -1,8 +1,9 @@
 """Rollups: mergeable aggregates by account, metric, period and dimension set.
 
 Events are first summed up by the whole vector of matched dimensions, and only these partial aggregates are spread over the
-dimension sets (at most six each), so the shuffle carries partials. Five kinds of aggregate share one pass; counting
-distinct values with removals keeps, by value, the last operation, as its order matters.
+dimension sets (at most six each), so the shuffle carries partials. Counts, sums and maxima share a pass whose buffers are all
+of fixed width, so it's a hash aggregation; only metrics of the latest value, whose buffer is a struct, need a sorted one.
+Counting distinct values with removals keeps, by value, the last operation, as its order matters.
 """
 
 from __future__ import annotations
@@ -29,26 +30,52 @@ def _only(kind: str, col: Column) -> Column:
     return F.when(F.col("agg_type") == kind, col)
 
 
+def _sums(rows: DataFrame, *by: str) -> DataFrame:
+    """Counts, sums and maxima of events, or of partial aggregates of them."""
+    partial = "count" in rows.columns
+    total = F.sum("sum") if partial else F.sum(_only("sum", F.col("value").cast("decimal(20,0)")))
+    top = F.max("max") if partial else F.max(_only("max", F.col("value")))
+    return rows.groupBy(*by).agg(
+        F.coalesce(total, F.lit(0)).cast("decimal(38,0)").alias("sum"),
+        (F.sum("count") if partial else F.count("*")).alias("count"),
+        F.greatest(F.coalesce(top, F.lit(0)), F.lit(0)).cast("long").alias("max"),
+        F.max("last_seg_offset" if partial else "offset").alias("last_seg_offset"),
+    )
+
+
+def _latest(rows: DataFrame, *by: str) -> DataFrame:
+    """Counts and latest values of events, or of partial aggregates of them; a time of 0 is never the latest."""
+    partial = "count" in rows.columns
+    last = F.col("last") if partial else F.when(F.col("ts_ns") > 0, F.struct("ts_ns", (-F.col("offset")).alias("order"), "value"))
+    return rows.groupBy(*by).agg(
+        F.lit(0).cast("decimal(38,0)").alias("sum"),
+        (F.sum("count") if partial else F.count("*")).alias("count"),
+        F.lit(0).cast("long").alias("max"),
+        F.max("last_seg_offset" if partial else "offset").alias("last_seg_offset"),
+        F.max(last).alias("last"),
+    )
+
+
+_LAST = "struct<ts_ns:bigint,order:bigint,value:bigint>"
+
+
 def vector_partials(events: DataFrame, metrics: DataFrame) -> DataFrame:
     """Partial aggregates by the whole vector of matched dimensions, of all kinds but count_unique."""
-    of = with_metric(events, metrics).where("agg_type <> 'count_unique'")
-    last = F.struct("ts_ns", (-F.col("offset")).alias("order"), "value")
-    return of.groupBy(*_GROUP, "matched").agg(
-        F.coalesce(F.sum(_only("sum", F.col("value").cast("decimal(20,0)"))), F.lit(0)).cast("decimal(38,0)").alias("sum"),
-        F.count("*").alias("count"),
-        F.greatest(F.coalesce(F.max(_only("max", F.col("value"))), F.lit(0)), F.lit(0)).cast("long").alias("max"),
-        F.max(_only("latest", F.when(F.col("ts_ns") > 0, last))).alias("last"),
-        F.max("offset").alias("last_seg_offset"),
-    )
+    of = with_metric(events, metrics)
+    by = [*_GROUP, "matched"]
+    sums = _sums(of.where(F.col("agg_type").isin("count", "sum", "max")), *by).withColumn("last", F.lit(None).cast(_LAST))
+    return sums.unionByName(_latest(of.where("agg_type = 'latest'"), *by))
 
 
 def unique_members(events: DataFrame, metrics: DataFrame) -> DataFrame:
-    """By key and value, the last operation on it: what distinct counting needs to keep."""
+    """By key and value, the last operation on it: what distinct counting needs to keep. Offset and operation go into one long
+    (offsets below 2 ** 61), so that this is a hash aggregation as well."""
     of = with_metric(events, metrics).where("agg_type = 'count_unique'")
-    last = F.max(F.struct("offset", "operation_type")).alias("last")
-    by_vector = of.groupBy(*_GROUP, "matched", "value").agg(last)
+    packed = F.shiftleft("offset", 2).bitwiseOR(F.least(F.col("operation_type").cast("long"), F.lit(3).cast("long")))
+    by_vector = of.groupBy(*_GROUP, "matched", "value").agg(F.max(packed).alias("last"))
     spread = by_vector.select(*_GROUP, "value", "last", F.explode(dim_sets(F.col("matched"))).alias("dims"))
-    return spread.groupBy(*KEY, "agg_type", "value").agg(F.max("last").alias("last")).select(*KEY, "agg_type", "value", F.col("last.operation_type").alias("last_op"), F.col("last.offset").alias("last_offset"))
+    members = spread.groupBy(*KEY, "agg_type", "value").agg(F.max("last").alias("last"))
+    return members.select(*KEY, "agg_type", "value", F.col("last").bitwiseAND(3).cast("int").alias("last_op"), F.shiftright("last", 2).alias("last_offset"))
 
 
 def merge_members(members: DataFrame) -> DataFrame:
@@ -78,9 +105,15 @@ def merge_partials(rows: DataFrame) -> DataFrame:
 
 def ordinary_rollup(events: DataFrame, metrics: DataFrame) -> DataFrame:
     """Rollup rows of all kinds but count_unique."""
-    spread = vector_partials(events, metrics).select("*", F.explode(dim_sets(F.col("matched"))).alias("dims"))
-    merged = spread.groupBy(*KEY, "agg_type").agg(F.sum("sum").cast("decimal(38,0)").alias("sum"), F.sum("count").alias("count"), F.max("max").alias("max"), F.max("last").alias("last"), F.max("last_seg_offset").alias("last_seg_offset"))
-    return _flat(merged)
+    of = with_metric(events, metrics)
+    by, key = [*_GROUP, "matched"], [*KEY, "agg_type"]
+
+    def spread(partials: DataFrame) -> DataFrame:
+        return partials.select("*", F.explode(dim_sets(F.col("matched"))).alias("dims"))
+
+    sums = _sums(spread(_sums(of.where(F.col("agg_type").isin("count", "sum", "max")), *by)), *key)
+    latest = _latest(spread(_latest(of.where("agg_type = 'latest'"), *by)), *key)
+    return _flat(sums.withColumn("last", F.lit(None).cast(_LAST))).unionByName(_flat(latest))
 
 
 def rollup(events: DataFrame, metrics: DataFrame) -> DataFrame:
