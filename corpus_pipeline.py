@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, line_dedup, packing, quality, simhash
+from tallyforge.llm import decontaminate, line_dedup, near_copies, packing, quality
 from tallyforge.llm.common import Scratch, table
 
 
@@ -23,8 +23,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of near copies: texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return near_copies.drop_near_copies(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

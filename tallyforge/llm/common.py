@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.storage import Scratch as Scratch
@@ -13,6 +13,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TEXT_ROWS = 2000
 #: A key is hot when more than one row in so many has it; there are then at most so many hot keys.
 HOT_SHARE = 1000
+#: Up to so many row keys, at 32 bytes, are broadcast.
+BROADCAST_ROWS = 500_000
+#: A row's key: whether the id is null, the id, and the text's hash.
+KEY = ["_none", "_id", "_h1", "_h2"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +54,32 @@ def join_by_key(rows: DataFrame, groups: DataFrame, key: list[str], size: str, t
     return done.unionByName(cold.join(groups.where(F.col(size) <= edge), key, "left"))
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart, with no nulls in it: rows that agree in all of KEY have the same id and the same text."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return [x.alias(c) for c, x in zip(KEY, (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.xxhash64(text), F.xxhash64(text, F.lit("again"))), strict=True)]
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The table, broadcast if it's small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def one_a_group(docs: DataFrame, rows: DataFrame, n: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, but of each group only the first row; rows is a written table of n rows, with KEY
+    and group."""
+    first = F.min(F.struct(*KEY)).alias("first")
+    groups = scratch.save(rows.groupBy("group").agg(first, F.count("*").alias("n_rows")).where("n_rows > 1"), n)
+    told = scratch.save(join_by_key(rows, groups, ["group"], "n_rows", n).where("n_rows is not null").select(*KEY, (F.struct(*KEY) == F.col("first")).alias("stays")), n)
+    gone = scratch.save(told.where("not stays").select(*KEY).distinct(), n)
+    again = scratch.save(told.where("stays").groupBy(*KEY).count().where("count > 1").select(*KEY), n)
+    keyed = docs.select("*", *row_key(id_col, text_col)).join(few(gone), KEY, "left_anti")
+    if again.isEmpty():
+        return keyed.select(*docs.columns)
+    single = keyed.join(few(again), KEY, "left_anti")
+    return single.unionByName(keyed.join(few(again), KEY, "left_semi").dropDuplicates(KEY)).select(*docs.columns)
+
+
 def ascii_lower(col):
     """A-Z lower-cased, all else as it is."""
     return F.translate(col, UPPER, LOWER)
