@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch, join_by_key, table, text_batches
+from tallyforge.llm.common import KEY, Scratch, join_by_key, one_a_group, row_key, table, text_batches
 from tallyforge.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -47,8 +47,6 @@ HOT_BUCKET = 64
 BLOCK = 1 << 20
 #: What dropping near copies takes: 16 fingerprints a text.
 SOFT_BITS = 4
-#: Up to so many ids, at 16 bytes, are broadcast.
-BROADCAST_ROWS = 500_000
 #: Costs of filing or probing one key and of verifying one candidate, in the same unit.
 KEY_COST, CANDIDATE_COST = 1.0, 0.2
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -98,9 +96,9 @@ def fingerprints(text: bytes, k: int = SHINGLE, soft_bits: int = 0) -> list[int]
 def _fingerprints(k: int, soft_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [np.array(fingerprints(x.as_py() or b"", k, soft_bits), "u8").view("i8") for x in batch.column(1).cast(pa.binary())]
+            prints = [np.array(fingerprints(x.as_py() or b"", k, soft_bits), "u8").view("i8") for x in batch.column(batch.num_columns - 1).cast(pa.binary())]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prints)], dtype="i4"), np.concatenate([*prints, np.empty(0, "i8")]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(x[0]) for x in prints], pa.int64()), lists], ["doc_id", "fp", "soft"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([int(x[0]) for x in prints], pa.int64()), lists], [*batch.schema.names[:-1], "fp", "soft"])
 
     return run
 
@@ -238,34 +236,39 @@ def _soft_links(rows: DataFrame, bits_apart: int, scratch: Scratch, hot_bucket:
     return shared.unionByName(both.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits_apart: int = BITS_APART, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET, soft_bits: int = 0) -> DataFrame:
-    """One row per document: doc_id, fp (as a signed long), component_id. bits_apart is even."""
+def _grouped(docs: DataFrame, shingle: int, bits_apart: int, id_col: str, text_col: str, hot_bucket: int, soft_bits: int, key: bool = False) -> DataFrame:
+    """One row per document: doc_id, fp, component_id, or, of rows known by their key, KEY and group."""
     if bits_apart % 2:
         raise ValueError("bits_apart must be even: hot buckets meet halfway")
     scratch = Scratch(docs.sparkSession)
     text_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = narrow.mapInArrow(_fingerprints(shingle, soft_bits), "doc_id long, fp long, soft array<long>")
+    more, types = (row_key(id_col, text_col), "_none boolean, _id long, _h1 long, _h2 long, ") if key else ([], "")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.col(text_col).cast("string").alias("text"))
+    rows = narrow.mapInArrow(_fingerprints(shingle, soft_bits), f"doc_id long, {types}fp long, soft array<long>")
     rows = scratch.save(rows if soft_bits else rows.drop("soft"))
     prints = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")), rows.count())
     n = prints.count()
     found = _soft_links(rows, bits_apart, scratch, hot_bucket) if soft_bits else links(prints, n, bits_apart, scratch, hot_bucket)
     roots = scratch.save(connected_components(found, scratch), n)
     rooted = scratch.save(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n_rows", F.coalesce("root", "fp").alias("root")), n)
+    if key:
+        return join_by_key(rows.select(*KEY, "fp"), rooted, ["fp"], "n_rows", rows.count()).select(*KEY, F.col("root").alias("group"))
     named = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_prints")), n)
     known = scratch.save(join_by_key(rooted, named, ["root"], "n_prints", n).select("fp", "n_rows", "component_id"), n)
     return join_by_key(rows.select("doc_id", "fp"), known, ["fp"], "n_rows", rows.count()).select("doc_id", "fp", "component_id")
 
 
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits_apart: int = BITS_APART, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET, soft_bits: int = 0) -> DataFrame:
+    """One row per document: doc_id, fp (as a signed long), component_id. bits_apart is even."""
+    return _grouped(docs, shingle, bits_apart, id_col, text_col, hot_bucket, soft_bits)
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, bits_apart: int = BITS_APART, soft_bits: int = SOFT_BITS) -> DataFrame:
-    """The documents with all their columns, but of each group only the one with the smallest doc_id; of rows that repeat a
-    doc_id one stays, and a null id stays only where its group has no other."""
-    groups = Scratch(docs.sparkSession).save(simhash_groups(docs, shingle, bits_apart, soft_bits=soft_bits).select("doc_id", "component_id"))
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    few = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    again = groups.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept if again else kept.dropDuplicates(["doc_id"])
+    """The documents with all their columns, but of each group only the row with the smallest doc_id, nulls last. Rows are told
+    apart by doc_id and text, so a row leaves only because of its own text."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(_grouped(docs, shingle, bits_apart, "doc_id", "text", HOT_BUCKET, soft_bits, key=True))
+    return one_a_group(docs, rows, rows.count(), scratch)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

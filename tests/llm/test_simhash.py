@@ -150,3 +150,9 @@ def test_blocks_of_long_texts_give_the_same_shingles():
         got = [s for part in simhash.shingles(text, k, block) for s in part]
         assert got == [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
     assert [s for part in simhash.shingles(b" one  two ", 3, 2) for s in part] == [b"one two"] and list(simhash.shingles(b" \n", 3, 1)) == []
+
+
+def test_rows_without_an_id_or_with_a_shared_one_leave_only_as_copies(frame):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    docs = [(1, text("a")), (None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("a")), (7, text("e"))]
+    assert sorted(r.text[0] for r in simhash.drop_near_copies(frame(docs)).collect()) == ["a", "b", "c", "d", "e"]
