@@ -73,9 +73,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no item is found, with all their columns."""
-    found = Scratch(docs.sparkSession).save(contaminated(docs, items).select("doc_id").distinct())
-    return docs.join(_bounded(found.select(F.col("doc_id").alias("_id")), found.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """The documents in which no item is found, with all their columns. Each row is judged by its own text alone (known by its
+    64-bit hash), whatever other rows have the same doc_id or none."""
+    print_ = F.xxhash64(F.col("text").cast("string"))
+    texts = docs.select(print_.alias("doc_id"), "text")
+    found = Scratch(docs.sparkSession).save(contaminated(texts, items).select(F.col("doc_id").alias("_print")).distinct())
+    return docs.join(_bounded(found, found.count()), print_ == F.col("_print"), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,11 @@ def test_whole_table_equals_sql(spark, oracle):
 
 def test_no_python_on_the_path(documents, items):
     assert not re.search("Python|Pandas|Arrow", decontaminate.contaminated(documents, items)._jdf.queryExecution().toString())
+
+
+def test_rows_are_dropped_for_their_own_text_only(frame, items):
+    half = len(ITEM.split()) // 2 + 2
+    parts = [" ".join(ITEM.split()[:half]), " ".join(ITEM.split()[half - 4 :])]
+    docs = [(None, f"so {ITEM} then"), (None, "a clean text of some words"), (7, f"{ITEM} again"), (7, "clean as well, all of it"), (8, parts[0]), (8, parts[1]), (None, None)]
+    kept = decontaminate.drop_contaminated(frame(docs), items).collect()
+    assert sorted(repr((r.doc_id, r.text)) for r in kept) == sorted(map(repr, [docs[1], *docs[3:]]))
