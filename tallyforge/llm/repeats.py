@@ -37,7 +37,7 @@ BROADCAST_ROWS = 500_000
 #: How far a window's anchor may be from its start.
 REACH = DEPTH - KEY
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_DOC = "doc long, print int"
+_DOC = "doc long, print long"
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -112,7 +112,7 @@ def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py()
             digit, first, count, reach = entries(text)
             hull = np.array([_hash(text[a : a + n + DEPTH - 1], r) for a, n, r in zip(first.tolist(), count.tolist(), reach.tolist(), strict=True)], "u8").view("i8")
-            for held, x in zip(out, (digit, hull, np.full(len(digit), doc, "i8"), np.full(len(digit), print_, "i4"), _packed(first, count, reach)), strict=True):
+            for held, x in zip(out, (digit, hull, np.full(len(digit), doc, "i8"), np.full(len(digit), print_, "i8"), _packed(first, count, reach)), strict=True):
                 held.append(x)
         if out[0]:
             columns = [np.concatenate(x) for x in out]
@@ -150,7 +150,7 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[int, in
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    types = [pa.int64()] * 5
     for spots in _spots(batches):
         rows = []
         for doc, print_, text, first, count, reach in spots:
@@ -164,7 +164,7 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    types = [pa.int64()] * 5
     for spots in _spots(batches):
         rows = []
         for doc, print_, text, first, count, reach in spots:
@@ -285,8 +285,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession)
     text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # rows that agree in both parts of the key have the same text, and so the same repeats
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("print"), text.alias("text"))
+    # rows that agree in both parts of the key, the whole 64-bit hash among them, have the same text and so the same repeats
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(text).alias("print"), text.alias("text"))
     spans = repeated_spans(keyed.select("doc", "print", "text"), scratch)
     return keyed.join(spans, ["doc", "print"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

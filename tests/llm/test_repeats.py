@@ -86,3 +86,21 @@ def test_equal_windows_have_equal_anchors():
 def test_runs_and_cuts():
     assert repeats.runs_of([(5, 9), (0, 3), (3, 4), (7, 12)]) == [(0, 4), (5, 12)]
     assert repeats.without(b"0123456789", [(0, 2), (5, 7)]) == b"234789"
+
+
+def test_texts_are_told_apart_by_more_than_31_bits(spark, frame):
+    from pyspark.sql import functions as F
+
+    # two texts without an id whose hashes agree in their low 31 bits; one of them is repeated in whole
+    made = spark.range(400_000).select(F.concat(F.lit("p" * 200), F.col("id").cast("string")).alias("t")).select("t", F.xxhash64("t").bitwiseAND(0x7FFFFFFF).alias("low"))
+    a, b = made.groupBy("low").agg(F.collect_list("t").alias("ts")).where("size(ts) > 1").first().ts[:2]
+    assert a != b
+    docs = [(None, a), (None, b), (5, a)]
+    prints = []
+    seen = repeats.repeated_spans
+    try:
+        repeats.repeated_spans = lambda docs, scratch: prints.extend(docs.collect()) or seen(docs, scratch)
+        out = got(frame(docs))
+    finally:
+        repeats.repeated_spans = seen
+    assert len({(r.doc, r.print) for r in prints if r.doc == -1}) == 2 and out == brute(docs)
