@@ -67,9 +67,16 @@ def name_class(name: Column) -> Column:
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, curve, law, shard, slot, grown_shard."""
+    return _sharded(docs, shards, id_col, text_col, source_col, lang_col)
+
+
+def _sharded(docs: DataFrame, shards: int, id_col: str, text_col: str, source_col: str, lang_col: str, whole: bool = False) -> DataFrame:
+    """The rows of hilbert_shards; with ``whole``, _row too, all columns of the document."""
+    more = ["_row"] if whole else []
+    carried = [F.struct(*docs.columns).alias("_row")] if whole else []
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), name_class(F.col(source_col)).alias("y"), name_class(F.col(lang_col)).alias("z"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), name_class(F.col(source_col)).alias("y"), name_class(F.col(lang_col)).alias("z"), *carried)
     rows = rows.withColumn("x", length_class(F.col("size")))
     rows = scratch.save(rows.withColumn("curve", hilbert_index("x", "y", "z")).drop("x", "y", "z"))
     n = rows.count()
@@ -85,14 +92,13 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     ranked = ranked.withColumn("rank", F.col("start") + F.col("nth"))
     out = ranked.withColumn("shard", F.expr(f"int(rank * {shards} div {max(n, 1)})"))
     slot = F.expr(f"rank - (shard * {n}L + {shards - 1}) div {shards}")
-    return out.select("doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *more)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """The documents as Parquet, a folder a shard, with files sorted along the curve and cut by range, so that no task holds
-    a shard of any size alone and each file's statistics span a small box. doc_id must be unique here."""
-    plan = hilbert_shards(docs, shards).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    whole = docs.join(plan, F.col("doc_id") == F.col("_id")).drop("_id")
+    a shard of any size alone and each file's statistics span a small box. Each row is written once, whatever its doc_id."""
+    whole = _sharded(docs, shards, "doc_id", "text", "source", "lang", whole=True).select("_row.*", "shard", "slot")
     whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

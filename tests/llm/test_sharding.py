@@ -64,3 +64,10 @@ def test_written_shards_hold_all(spark, documents, tmp_path):
 
 def test_no_python_on_the_path(documents):
     assert not re.search("Python|Pandas|Arrow", sharding.hilbert_shards(documents)._jdf.queryExecution().toString())
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_written_once(spark, frame, tmp_path):
+    docs = [*ODD, (None, "again"), (3, "a"), (3, "b"), (3, "b")]
+    sharding.write_shards(frame(docs), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(repr((r.doc_id, r.text)) for r in back.collect()) == sorted(map(repr, docs)) and set(frame(docs).columns) <= set(back.columns)
