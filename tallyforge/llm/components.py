@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch
+from tallyforge.llm.common import Scratch, join_by_key
 
 #: Edges that one task folds at a time.
 FOLD_EDGES = 500_000
@@ -44,28 +44,31 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node and root (the smallest node of its component) of every node on an edge; edges are pairs of longs.
 
-    Each round folds the edges of a partition into stars, then makes a large and a small star (Kiveris et al., 2014) over
-    all: every node is joined to the smallest node it sees, until nothing changes. A round's edges are a written table.
+    Each round makes a large and a small star (Kiveris et al., 2014) over all edges, in which every node is joined to the smallest
+    node it sees, and folds the edges of a partition into stars, until all components are stars. A round's edges are a written
+    table.
     """
 
-    def smallest(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m"))
+    def with_smallest(e: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """The edges of a written table, each with the smallest neighbour m of its u; and the smallest neighbours alone. A hub's
+        edges stay where they are: its smallest neighbour is broadcast to them."""
+        least = scratch.save(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), n)
+        return join_by_key(e, least, ["u"], "degree", n), least
 
     now = scratch.save(edges.toDF("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long").distinct())
-    before, n = None, None
     while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if seen == before or not seen[0]:
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        n, unsettled = seen.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+        if not unsettled:  # all components are stars
             break
-        before, n = seen, 2 * seen[0]
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = smallest(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        n *= 2
+        both, low = with_smallest(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), n)
+        large = both.select("u", "v", F.least("u", "m").alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.save(large, n)
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = smallest(down)
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        after = scratch.save(small.where("u <> v").distinct(), n)
-        scratch.drop(now, large)
+        down, least = with_smallest(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), n)
+        small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        after = scratch.save(small.where("u <> v").distinct().mapInArrow(_forest, "u long, v long").distinct(), n)
+        scratch.drop(now, large, low, least)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

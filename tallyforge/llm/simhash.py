@@ -7,18 +7,17 @@ Exact copies, and all other texts with one fingerprint, fold into one row first.
 correlated bits together; with m partitions, any thresholds t_i >= -1 that add up to bits_apart - m + 1 find every link (some
 partition differs in at most t_i bits). The number of partitions and the thresholds come from a dynamic program over estimated
 costs: keys to probe, and candidates by the bits' spread over all fingerprints. Fingerprints are filed by the value of each
-used partition, probed with all values within t_i, and candidates are verified on all 64 bits.
+used partition, probed with all values within t_i, and candidates are verified on all 64 bits, and on 64 more where the table of
+fingerprints has a second word (``check``).
 
-A bucket of more than HOT_BUCKET fingerprints emits no pairs. All fingerprints that touch such a bucket meet exactly in another
-way: each is filed under every value within bits_apart / 2 of it, so fingerprints are linked exactly if they share such a value;
-at most as many fingerprints share one as there are values that near, and they're joined to the smallest as a star.
+A bucket in which what is filed and what probes it would make more than HOT_BUCKET ** 2 pairs emits none. All fingerprints that
+touch such a bucket meet exactly in another way. At few bits apart each is filed under every value within bits_apart / 2 of it, so
+fingerprints are linked exactly if they share such a value; at most as many fingerprints share one as there are values that near,
+and they're joined to the smallest as a star. At more bits apart there are too many such values, and the bucket is compared in
+blocks (``tallyforge.llm.blocks``), which emits a forest of its links.
 
 Groups are the connected components of the links, found by alternating large and small stars over tables.
 
-With ``soft_bits`` above zero a text also stands under the fingerprints that arise from flipping any of its so many least
-certain bits (those where the share of hashes is nearest to half), as an edit flips these first: texts are then linked if any of
-their fingerprints are. That finds far more edited copies at the same bits_apart than raising bits_apart would at the same cost.
-
 Defined cases: null and empty texts have fingerprint zero, linked like any other; texts of fewer words than a shingle are one
 shingle; rows that share a doc_id or repeat are judged one by one; a null doc_id is grouped but never names a group, unless all
 ids of it are null; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -28,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 from math import comb
 
@@ -37,7 +37,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import KEY, Scratch, join_by_key, one_a_group, row_key, table, text_batches
+from tallyforge.llm import blocks
+from tallyforge.llm.common import Scratch, join_by_key, table, text_batches
 from tallyforge.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -45,24 +46,35 @@ SHINGLE, BITS_APART = 3, 2
 HOT_BUCKET = 64
 #: Bytes of a text whose words are held at a time.
 BLOCK = 1 << 20
-#: What dropping near copies takes: 16 fingerprints a text.
-SOFT_BITS = 4
+#: Up to so many bits apart, fingerprints of a hot bucket meet halfway.
+STAR_BITS = 2
+#: Fingerprints of a hot bucket that are compared at a time, and how many of them stand in all of its blocks, about.
+BLOCK_PRINTS, LEADERS = 4096, 128
+#: Up to so many hot buckets, at 12 bytes, are broadcast.
+BROADCAST_ROWS = 500_000
 #: Costs of filing or probing one key and of verifying one candidate, in the same unit.
 KEY_COST, CANDIDATE_COST = 1.0, 0.2
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little").astype("i8")
 
 
-def shingles(text: bytes, k: int, block: int = BLOCK) -> Iterator[list[bytes]]:
-    """Each k neighbouring words, repeats included; of fewer words, all of them as one. They come in lists of a block's words,
-    as those of a very long text take many times its own size."""
-    text, start, carry, none = text.lower(), 0, [], True
+def word_blocks(text: bytes, block: int = BLOCK) -> Iterator[list[bytes]]:
+    """A text's words, in lists of a block's words, as those of a very long text take many times its own size."""
+    start = 0
     while start < len(text):
         end = start + block
         if end < len(text):
             space = _SPACE.search(text, end)
             end = space.start() if space else len(text)
-        words, start = carry + text[start:end].split(), end
+        yield text[start:end].split()
+        start = end
+
+
+def shingles(text: bytes, k: int, block: int = BLOCK) -> Iterator[list[bytes]]:
+    """Each k neighbouring words, repeats included; of fewer words, all of them as one. They come in lists of a block's words."""
+    carry, none = [], True
+    for cut in word_blocks(text.lower(), block):
+        words = carry + cut
         if len(words) >= k:
             whole = b" ".join(words)
             ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n))
@@ -84,21 +96,16 @@ def bit_counts(text: bytes, k: int) -> tuple[np.ndarray, int]:
     return counts.ravel(), n
 
 
-def fingerprints(text: bytes, k: int = SHINGLE, soft_bits: int = 0) -> list[int]:
-    """The text's fingerprint, then those with some of its least certain bits flipped."""
+def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     counts, n = bit_counts(text, k)
-    over = 2 * counts - n
-    first = int(np.packbits(over > 0, bitorder="little").view("<u8")[0])
-    soft = np.argsort(np.abs(over), kind="stable")[:soft_bits].tolist() if n else []
-    return [first ^ sum(1 << b for b in some) for i in range(len(soft) + 1) for some in combinations(soft, i)]
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(k: int, soft_bits: int):
+def _fingerprints(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [np.array(fingerprints(x.as_py() or b"", k, soft_bits), "u8").view("i8") for x in batch.column(batch.num_columns - 1).cast(pa.binary())]
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prints)], dtype="i4"), np.concatenate([*prints, np.empty(0, "i8")]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([int(x[0]) for x in prints], pa.int64()), lists], [*batch.schema.names[:-1], "fp", "soft"])
+            prints = [fingerprint(x.as_py() or b"", k) for x in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, "u8").view("i8"))], ["doc_id", "fp"])
 
     return run
 
@@ -186,89 +193,83 @@ def _near(fp: str, flips: list[int]) -> Column:
     return F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda x: x.bitwiseXOR(F.col(fp)))
 
 
-def links(prints: DataFrame, n: int, bits_apart: int, scratch: Scratch, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def within(bits_apart: int, check_apart: int | None):
+    """Which of a bucket's fingerprints (held: one word, or two) are near: links whose components are those of all near pairs."""
+
+    def run(nodes: list[int], held: list[np.ndarray]) -> list[tuple[int, int]]:
+        words, out, group = np.stack(held), [], np.arange(len(nodes))
+        for i in range(len(nodes) - 1):
+            near = np.bitwise_count(words[i + 1 :, 0] ^ words[i, 0]) <= bits_apart
+            if check_apart is not None:
+                near &= np.bitwise_count(words[i + 1 :, 1] ^ words[i, 1]) <= check_apart
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if group[j] != group[i]:
+                    out.append((nodes[i], nodes[j]))
+                    group[group == group[j]] = group[i]
+        return out
+
+    return run
+
+
+def links(prints: DataFrame, n: int, bits_apart: int, scratch: Scratch, hot_bucket: int = HOT_BUCKET, check_apart: int | None = None) -> DataFrame:
     """Edges (a, b) whose connected components are those of all pairs of distinct fingerprints at most bits_apart bits apart;
-    prints is a written table of n distinct fingerprints in column fp. Those with the same owner, where there is such a
-    column, are known to belong together and get no edge."""
-    own = "owner" if "owner" in prints.columns else "fp"
+    prints is a written table of n distinct fingerprints in column fp. With check_apart, only pairs whose second words (column
+    check) are at most so many bits apart are meant."""
     rows = prints.select("fp").mapInArrow(_together, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # BITS * BITS rows
     together = np.zeros((BITS, BITS))
     for r in rows:
         together[r["i"], r["j"]] = r["n"]
     parts = plan(together, n, bits_apart)
     masks = [_signed(sum(1 << b for b in bits)) for bits, _ in parts]
-    filed = F.array(*(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).alias("value")) for i, mask in enumerate(masks)))
-    index = scratch.save(prints.select("fp", F.col(own).alias("own"), F.inline(filed)))
-    sizes = index.groupBy("part", "value").agg(F.count("*").alias("size"))
-    if any(t for _, t in parts):
-        probed = [prints.select("fp", F.col(own).alias("own"), F.lit(i).alias("part"), F.explode(_near("fp", _flips(bits, t))).alias("value")).withColumn("value", F.col("value").bitwiseAND(F.lit(masks[i]))) for i, (bits, t) in enumerate(parts)]
-        probes = probed[0]
-        for more in probed[1:]:
-            probes = probes.unionByName(more)
-        probes = scratch.save(probes)
-    else:
-        probes, sizes = index, sizes.where("size > 1")
-    sizes = scratch.save(sizes, n * len(parts))
-    sized = scratch.save(join_by_key(probes, sizes, ["part", "value"], "size", n * len(parts)).where("size is not null"))
-    cold = sized.where(F.col("size") <= hot_bucket).drop("size")
-    candidates = cold.join(index.withColumnsRenamed({"fp": "other", "own": "other_own"}), ["part", "value"])
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    differ = (F.col("fp") < F.col("other") if probes is index else F.col("fp") != F.col("other")) & (F.col("own") != F.col("other_own"))
-    pairs = candidates.where(differ & (apart <= bits_apart)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    touched = sized.where(F.col("size") > hot_bucket).select("fp").distinct()
-    if probes is not index:  # what a hot bucket holds, besides what probes it
-        hot = sized.where(F.col("size") > hot_bucket).select("part", "value").distinct()
-        touched = touched.unionByName(index.join(hot, ["part", "value"], "left_semi").select("fp")).distinct()
-    near = _flips(list(range(BITS)), bits_apart // 2)
-    shared = touched.select("fp", F.explode(_near("fp", near)).alias("spot")).groupBy("spot").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # at most len(near) each
-    stars = shared.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return pairs.unionByName(stars)
-
-
-def _soft_links(rows: DataFrame, bits_apart: int, scratch: Scratch, hot_bucket: int) -> DataFrame:
-    """Edges between texts' own fingerprints that are linked by any of their fingerprints."""
-    named = scratch.save(rows.select("fp", F.explode("soft").alias("any")).distinct())
-    owners = scratch.save(named.groupBy("any").agg(F.min("fp").alias("owner")))
-    shared = named.join(owners, "any").where("fp <> owner").select(F.col("owner").alias("a"), F.col("fp").alias("b"))
-    found = scratch.save(links(owners.withColumnRenamed("any", "fp"), owners.count(), bits_apart, scratch, hot_bucket))
-    left = found.join(owners.select(F.col("any").alias("a"), F.col("owner").alias("x")), "a")
-    both = left.join(owners.select(F.col("any").alias("b"), F.col("owner").alias("y")), "b")
-    return shared.unionByName(both.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
-
-
-def _grouped(docs: DataFrame, shingle: int, bits_apart: int, id_col: str, text_col: str, hot_bucket: int, soft_bits: int, key: bool = False) -> DataFrame:
-    """One row per document: doc_id, fp, component_id, or, of rows known by their key, KEY and group."""
-    if bits_apart % 2:
-        raise ValueError("bits_apart must be even: hot buckets meet halfway")
+    words = ["fp"] if check_apart is None else ["fp", "check"]
+    at = F.array(*(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).alias("value")) for i, mask in enumerate(masks)))
+    filed = scratch.save(prints.select(*words, F.inline(at)))
+    probes = [
+        prints.select(*words, F.lit(i).alias("part"), F.explode(_near("fp", _flips(bits, t)[1:])).alias("value")).withColumn("value", F.col("value").bitwiseAND(F.lit(masks[i])))
+        for i, (bits, t) in enumerate(parts)
+        if t
+    ]
+    entries = filed.withColumn("is_filed", F.lit(True))
+    if probes:
+        probing = reduce(lambda x, y: x.unionByName(y), probes).withColumn("is_filed", F.lit(False))
+        entries = scratch.save(entries.unionByName(probing))
+    sizes = entries.groupBy("part", "value").agg(F.count_if("is_filed").alias("n_filed"), F.count("*").alias("n_all"))
+    hot = scratch.save(sizes.where(F.col("n_filed") * F.col("n_all") > hot_bucket**2).select("part", "value"))
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+    other = filed.join(hot, ["part", "value"], "left_anti").withColumnsRenamed({w: f"other_{w}" for w in words})
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= bits_apart
+    if check_apart is not None:
+        apart = apart & (F.bit_count(F.col("check").bitwiseXOR(F.col("other_check"))) <= check_apart)
+    pairs = entries.join(hot, ["part", "value"], "left_anti").join(other, ["part", "value"]).where((F.col("fp") < F.col("other_fp")) & apart)
+    pairs = pairs.select(F.col("fp").alias("a"), F.col("other_fp").alias("b"))
+    if not n_hot:
+        return pairs
+    touching = entries.join(hot, ["part", "value"], "left_semi")
+    if bits_apart <= STAR_BITS and bits_apart % 2 == 0 and check_apart is None:
+        near = _flips(list(range(BITS)), bits_apart // 2)
+        spots = touching.select("fp").distinct().select("fp", F.explode(_near("fp", near)).alias("spot"))
+        shared = spots.groupBy("spot").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # at most len(near) each
+        return pairs.unionByName(shared.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b"))
+    held = scratch.save(touching.select(F.col("fp").alias("node"), F.xxhash64("part", "value").alias("root"), F.array(*words).alias("held")))
+    forest = blocks.linked(held, held.count(), scratch, within(bits_apart, check_apart), BLOCK_PRINTS, LEADERS)
+    return pairs.unionByName(forest.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b"))
+
+
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits_apart: int = BITS_APART, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """One row per document: doc_id, fp (as a signed long), component_id."""
     scratch = Scratch(docs.sparkSession)
     text_batches(docs.sparkSession)
-    more, types = (row_key(id_col, text_col), "_none boolean, _id long, _h1 long, _h2 long, ") if key else ([], "")
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.col(text_col).cast("string").alias("text"))
-    rows = narrow.mapInArrow(_fingerprints(shingle, soft_bits), f"doc_id long, {types}fp long, soft array<long>")
-    rows = scratch.save(rows if soft_bits else rows.drop("soft"))
-    prints = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")), rows.count())
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = scratch.save(narrow.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"))
+    total = rows.count()
+    prints = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")), total)
     n = prints.count()
-    found = _soft_links(rows, bits_apart, scratch, hot_bucket) if soft_bits else links(prints, n, bits_apart, scratch, hot_bucket)
-    roots = scratch.save(connected_components(found, scratch), n)
+    roots = scratch.save(connected_components(links(prints, n, bits_apart, scratch, hot_bucket), scratch), n)
     rooted = scratch.save(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n_rows", F.coalesce("root", "fp").alias("root")), n)
-    if key:
-        return join_by_key(rows.select(*KEY, "fp"), rooted, ["fp"], "n_rows", rows.count()).select(*KEY, F.col("root").alias("group"))
     named = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_prints")), n)
     known = scratch.save(join_by_key(rooted, named, ["root"], "n_prints", n).select("fp", "n_rows", "component_id"), n)
-    return join_by_key(rows.select("doc_id", "fp"), known, ["fp"], "n_rows", rows.count()).select("doc_id", "fp", "component_id")
-
-
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits_apart: int = BITS_APART, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET, soft_bits: int = 0) -> DataFrame:
-    """One row per document: doc_id, fp (as a signed long), component_id. bits_apart is even."""
-    return _grouped(docs, shingle, bits_apart, id_col, text_col, hot_bucket, soft_bits)
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, bits_apart: int = BITS_APART, soft_bits: int = SOFT_BITS) -> DataFrame:
-    """The documents with all their columns, but of each group only the row with the smallest doc_id, nulls last. Rows are told
-    apart by doc_id and text, so a row leaves only because of its own text."""
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(_grouped(docs, shingle, bits_apart, "doc_id", "text", HOT_BUCKET, soft_bits, key=True))
-    return one_a_group(docs, rows, rows.count(), scratch)
+    return scratch.finish(join_by_key(rows, known, ["fp"], "n_rows", total).select("doc_id", "fp", "component_id"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,39 +1,67 @@
+import collections
 import itertools
+import math
 import random
 
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tallyforge.llm import near_copies
 from tests.llm.conftest import ODD, SF
 
 
+def words_of(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+
+
 def shingle_set(text, k=5):
-    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    w = lowered.encode().split()
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+    w = words_of(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
 
 
-def jaccard(a, b):
-    return len(a & b) / len(a | b) if a or b else 1.0
+def prints(text):
+    """Two words of 64 bits: by words, each weighted by the root of its number in whole 1024ths."""
+    counts = collections.Counter(words_of(text))
+    weights = {int.from_bytes(xxhash.xxh3_128_digest(w, 42), "little"): math.floor(math.sqrt(n) * 1024) for w, n in counts.items()}
+    bits = sum(1 << b for b in range(128) if 2 * sum(x for h, x in weights.items() if h >> b & 1) > sum(weights.values()))
+    return bits & (2**64 - 1), bits >> 64
 
 
-def brute(docs):
-    """The (doc_id, text) that stay: the first row of each component of all pairs at 0.8 or more."""
-    sets, parent = [shingle_set(t) for _, t in docs], list(range(len(docs)))
+def alike(a, b):
+    return len(a & b) ** 2 * 25 >= 16 * len(a) * len(b)
+
 
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
+class Joined:
+    def __init__(self, n):
+        self.up = list(range(n))
+
+    def __call__(self, i):
+        while self.up[i] != i:
+            i = self.up[i]
         return i
 
+    def join(self, i, j):
+        self.up[self(i)] = self(j)
+
+
+def brute(docs):
+    """Groups of rows: fingerprints near in both words hang together as clusters, and in these exact similarity links."""
+    sets, both = [shingle_set(t) for _, t in docs], [prints(t) for _, t in docs]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    check = {f: min((c for g, c in both if g == f), key=signed) for f, _ in both}
+    clusters, groups = Joined(len(docs)), Joined(len(docs))
     for i, j in itertools.combinations(range(len(docs)), 2):
-        if jaccard(sets[i], sets[j]) >= 0.8:
-            parent[find(i)] = find(j)
-    groups: dict = {}
+        f, g = both[i][0], both[j][0]
+        if (f ^ g).bit_count() <= near_copies.BITS_APART and (check[f] ^ check[g]).bit_count() <= near_copies.CHECK_APART:
+            clusters.join(i, j)
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        if clusters(i) == clusters(j) and alike(sets[i], sets[j]):
+            groups.join(i, j)
+    out: dict = {}
     for i, row in enumerate(docs):
-        groups.setdefault(find(i), []).append(row)
-    return groups.values()
+        out.setdefault(groups(i), []).append(row)
+    return out.values()
 
 
 def holds(kept, docs):
@@ -86,6 +114,34 @@ def test_rows_leave_only_because_of_their_own_text(spark, frame):
     assert kept == ["a", "b", "c", "d", "e"]
 
 
+def test_prints_equal_a_plain_reference(documents):
+    texts = [t for _, t in ODD] + [r.text for r in documents.limit(40).collect()]
+    found = near_copies.WordPrints()
+    assert [found((t or "").encode()) for t in texts] == [prints(t) for t in texts]
+
+
+def test_edited_copies_are_found_and_others_kept(spark, frame):
+    """Of copies with edits in 2 of 100 words, nearly all; of other texts, none."""
+    r = random.Random(11)
+    docs = []
+    for i in range(60):
+        words = [f"w{int(r.paretovariate(0.9)) % 3000}" for _ in range(300)]
+        docs.append((i, " ".join(words)))
+        for p in r.sample(range(300), 6):
+            words[p] = f"edited{r.randrange(50)}"
+        docs.append((1000 + i, " ".join(words)))
+    kept = {x.doc_id for x in corpus_pipeline.near_copy_stage(spark, frame(docs), SF).collect()}
+    assert set(range(60)) <= kept and len(kept) <= 66
+
+
+def test_long_chains_do_not_join_strangers(spark, frame):
+    """Texts that share words but no order of them stay apart, however near their fingerprints are."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(100)]
+    docs = [(i, " ".join(r.sample(words, 100))) for i in range(30)]
+    assert corpus_pipeline.near_copy_stage(spark, frame(docs), SF).count() == 30
+
+
 def test_empty_table(spark, frame):
     none = corpus_pipeline.near_copy_stage(spark, frame([]), SF)
     assert none.count() == 0 and none.columns == frame([]).columns

@@ -1,18 +1,16 @@
 """The pipeline's stages against brute force, each on what the stage before it kept."""
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import packing, quality, simhash
+from tallyforge.llm import packing, quality
 from tests.llm.conftest import SF
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_line_dedup import brute as line_deduped
+from tests.llm.test_near_copies import holds
 from tests.llm.test_quality import BIG
 from tests.llm.test_packing import held as packed_well
-from tests.llm.test_simhash import expected as grouped
 
 
 @pytest.fixture(scope="module")
@@ -57,8 +55,7 @@ def test_lines(stages):
 
 
 def test_near_copies(stages):
-    keep = {eval(x)[1] for x in grouped(pairs(stages[2]), soft=simhash.SOFT_BITS)}
-    assert sorted(d for d, _ in pairs(stages[3])) == sorted(keep)
+    holds(pairs(stages[3]), pairs(stages[2]))
 
 
 def test_benchmark(spark, stages):
@@ -73,24 +70,3 @@ def test_packing(stages):
 
 def test_run_is_the_stages_in_turn(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, stages[5].collect()))
-
-
-def test_edited_copies_are_caught_and_others_kept(spark, frame):
-    import random
-
-    r = random.Random(11)
-    docs = []
-    for i in range(60):
-        words = [f"w{r.randrange(3000)}" for _ in range(300)]
-        docs.append((i, " ".join(words)))
-        if i < 30:
-            words[r.randrange(300)] = "edited"
-            docs.append((1000 + i, " ".join(words)))
-    kept = {x.doc_id for x in simhash.drop_near_copies(frame(docs)).collect()}
-    assert set(range(60)) <= kept and len(kept & set(range(1000, 1030))) <= 9
-
-
-def test_no_text_is_lost_to_odd_rows(frame):
-    from tests.llm.conftest import ODD
-
-    assert simhash.drop_near_copies(frame(ODD)).where("doc_id = 12").count() == 1 and re.match("word", ODD[-1][1])

@@ -5,9 +5,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from tallyforge.llm import simhash
+from tallyforge.llm.common import Scratch
+from tallyforge.llm.components import connected_components
 from tests.llm.conftest import ODD, SF
 
 
@@ -35,8 +36,8 @@ def groups(prints, apart):
     return [find(i) for i in range(len(prints))]
 
 
-def expected(docs, apart=2, k=3, soft=0):
-    prints = [set(simhash.fingerprints((t or "").encode(), k, soft)) for _, t in docs]
+def expected(docs, apart=2, k=3):
+    prints = [{simhash.fingerprint((t or "").encode(), k)} for _, t in docs]
     found = groups(prints, apart)
     least = {g: min((d for (d, _), x in zip(docs, found, strict=True) if x == g and d is not None), default=None) for g in found}
     return sorted(repr((d, least[g])) for (d, _), g in zip(docs, found, strict=True))
@@ -60,21 +61,43 @@ def got(df, **more):
 
 def test_fingerprints_equal_a_plain_reference(documents):
     texts = [t for _, t in ODD[:-1]] + [r.text for r in documents.limit(40).collect()] + ["a b", "a  B\tc", "one"]
-    assert [simhash.fingerprints((t or "").encode())[0] for t in texts] == [reference(t) for t in texts]
+    assert [simhash.fingerprint((t or "").encode()) for t in texts] == [reference(t) for t in texts]
 
 
 def test_odd_rows(frame):
     assert got(frame(ODD)) == expected(ODD)
 
 
-@pytest.mark.parametrize(("apart", "hot", "soft"), [(2, 64, 0), (2, 3, 0), (4, 64, 0), (2, 4, 2)])
-def test_near_copies_equal_brute_force(frame, apart, hot, soft):
+@pytest.mark.parametrize(("apart", "hot"), [(2, 64), (2, 2), (4, 64), (3, 2), (6, 3)])
+def test_near_copies_equal_brute_force(frame, apart, hot):
     docs = near_copies(60, seed=apart + hot) + ODD
-    assert got(frame(docs), bits_apart=apart, hot_bucket=hot, soft_bits=soft) == expected(docs, apart, soft=soft)
+    assert got(frame(docs), bits_apart=apart, hot_bucket=hot) == expected(docs, apart)
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_second_words_of_fingerprints_are_verified(spark, hot):
+    r = random.Random(hot)
+    first = [r.getrandbits(64) for _ in range(6)]
+    rows = {(x := f ^ sum(1 << b for b in r.sample(range(64), r.randrange(5)))): r.choice((0, 3, 2**63)) for f in first for _ in range(12)}
+    scratch = Scratch(spark)
+    prints = scratch.save(spark.createDataFrame([(simhash._signed(f), simhash._signed(c)) for f, c in rows.items()], "fp long, check long"))
+    edges = simhash.links(prints, len(rows), 4, scratch, hot, check_apart=1)
+    found = {x.node: x.root for x in connected_components(edges, scratch).collect()}
+    near = [(a, b) for a, b in itertools.combinations(rows, 2) if (a ^ b).bit_count() <= 4 and (rows[a] ^ rows[b]).bit_count() <= 1]
+    parent = {f: f for f in rows}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in near:
+        parent[find(a)] = find(b)
+    signed = simhash._signed
+    for a, b in itertools.combinations(rows, 2):
+        assert (find(a) == find(b)) == (found.get(signed(a), signed(a)) == found.get(signed(b), signed(b)))
 
 
 def test_empty_table(frame):
-    assert got(frame([])) == [] and simhash.drop_near_copies(frame([])).count() == 0
+    assert got(frame([])) == []
 
 
 def test_whole_table_equals_brute_force(spark, documents):
@@ -85,19 +108,6 @@ def test_whole_table_equals_brute_force(spark, documents):
     assert all(r.fingerprint == f"{reference(texts[r.doc_id]):016x}" for r in out)
 
 
-def test_odd_thresholds_are_refused(frame):
-    with pytest.raises(ValueError):
-        simhash.simhash_groups(frame([]), bits_apart=3)
-
-
-def test_one_of_each_group_stays_with_all_its_columns(frame):
-    docs = near_copies(20, 3) + ODD
-    kept = simhash.drop_near_copies(frame(docs), soft_bits=0)
-    names = {repr(least) for _, least in (eval(x) for x in expected(docs))}
-    assert {repr(r.doc_id) for r in kept.collect()} == names and kept.count() == len(names)
-    assert kept.columns == frame([]).columns
-
-
 def test_allocation_is_the_cheapest_of_all():
     r = np.random.default_rng(4)
     for apart, m in itertools.product((2, 3, 4), (1, 2, 3, 4)):
@@ -150,9 +160,3 @@ def test_blocks_of_long_texts_give_the_same_shingles():
         got = [s for part in simhash.shingles(text, k, block) for s in part]
         assert got == [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
     assert [s for part in simhash.shingles(b" one  two ", 3, 2) for s in part] == [b"one two"] and list(simhash.shingles(b" \n", 3, 1)) == []
-
-
-def test_rows_without_an_id_or_with_a_shared_one_leave_only_as_copies(frame):
-    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
-    docs = [(1, text("a")), (None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("a")), (7, text("e"))]
-    assert sorted(r.text[0] for r in simhash.drop_near_copies(frame(docs)).collect()) == ["a", "b", "c", "d", "e"]
