@@ -23,7 +23,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: SimHash candidates whose 5-word shingles have a similarity of 0.8 or more."""
     return near_copies.drop_near_copies(docs)
 
 

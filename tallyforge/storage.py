@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ ROWS_PER_FILE = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir. Only where it names none, as in tests, a new one."""
+    """The folder that the session names in spark.checkpoint.dir. Where it names none, a new one of this machine, but only if
+    driver and executors are one process: on a cluster each machine would see its own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tallyforge-")
         sc.setCheckpointDir(named)
     return named
@@ -45,5 +49,16 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that no later step reads."""
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self._remove(df._scratch_path)
+
+    def finish(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """The table as ``save`` gives it, and all others of this folder removed: for results that read nothing else any more."""
+        earlier = self._n
+        out = self.save(df, rows)
+        for i in range(1, earlier + 1):
+            self._remove(f"{self.root}/{i:03d}")
+        return out
+
+    def _remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
