@@ -215,6 +215,8 @@ def links(prints: DataFrame, n: int, bits_apart: int, scratch: Scratch, hot_buck
     """Edges (a, b) whose connected components are those of all pairs of distinct fingerprints at most bits_apart bits apart;
     prints is a written table of n distinct fingerprints in column fp. With check_apart, only pairs whose second words (column
     check) are at most so many bits apart are meant."""
+    if not n:
+        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     rows = prints.select("fp").mapInArrow(_together, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # BITS * BITS rows
     together = np.zeros((BITS, BITS))
     for r in rows:
