@@ -1,15 +1,16 @@
 """Quality classifier: hashed word n-gram logistic regression, trained with follow-the-regularised-leader updates.
 
-Words are runs of letters, of digits, and of other marks; 1-grams and 2-grams of them are hashed to 2 ** BITS features,
-as are 2-grams and 3-grams that end in the word they begin with, whatever the word (repetition). A document is its vector of feature counts at unit length, so its score is a sparse dot product, and length doesn't matter.
+Words are runs of letters, of digits, and of other marks; 1-grams and 2-grams of them are hashed to 2 ** BITS features. A document
+is its vector of feature counts at unit length, so its score is a sparse dot product, and length doesn't matter.
 
-Training reads at most SAMPLE_ROWS labelled documents, those with the smallest hash of their id (a documented bound: a linear
-model of this kind gains little beyond it); their features are computed on the executors, and the sequential updates of FTRL
-run over them on the driver. Scoring reads every document in whole.
+Training reads at most SAMPLE_ROWS labelled documents, those with the smallest hash of their id, and of these in that order as many
+as have SAMPLE_BYTES of features together, without such as have more than MOST_BYTES alone (documented bounds of what the driver
+holds: a linear model of this kind gains little beyond them). Features are computed on the executors and written; the sequential
+updates of FTRL run over the sample on the driver. Scoring reads every document in whole.
 
 Defined cases: a null or empty text has no features and scores the model's bias; without usable labels every score is the
 prior 0.5; labels that are null are ignored, several labels of a document are averaged (0.5 and up counts as 1); repeated
-rows are scored one by one; null ids are scored and count as held out by no fold; an empty table gives no rows; other columns
+rows are scored one by one; of rows that share a labelled id, one is learnt from; null ids are scored and count as held out by no fold; an empty table gives no rows; other columns
 are carried along, whatever their names.
 """
 
@@ -25,10 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import table, text_batches
+from tallyforge.llm.common import Scratch, table, text_batches
 
 BITS = 18
 SAMPLE_ROWS = 6000
+#: Of features, at 8 bytes each, in all and of one document.
+SAMPLE_BYTES, MOST_BYTES = 64 << 20, 256 << 10
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 THRESHOLD = 0.3
@@ -38,8 +41,6 @@ _SPACE = re.compile(r"\s")
 #: Characters of a text whose words are held at a time; hashes of words that are remembered.
 BLOCK = 1 << 20
 _CACHE_ROWS = 300_000
-#: Features of 2-grams and 3-grams that end in the word they begin with, whatever the word.
-AGAIN = {1: zlib.crc32(b"w w"), 2: zlib.crc32(b"w * w")}
 
 
 def _blocks(text: str, block: int = BLOCK) -> Iterator[str]:
@@ -63,11 +64,9 @@ class Features:
         if not len(ids):
             return np.empty(0, "i8"), np.empty(0)
         pairs = ((ids[:-1] * 0x9E3779B1) ^ (ids[1:] * 0x85EBCA77)) >> 15
-        same = [np.full(int((ids[k:] == ids[:-k]).sum()), AGAIN[k], "i8") for k in AGAIN]
-        spots, counts = np.unique(np.concatenate([ids, pairs, *same]) & self.mask, return_counts=True)
+        spots, counts = np.unique(np.concatenate([ids, pairs]) & self.mask, return_counts=True)
         return spots, counts / np.sqrt((counts.astype("f8") ** 2).sum())
 
-
     def _ids(self, text: str) -> np.ndarray:
         """The hashes of a block's words."""
         words, seen = _WORD.findall(text), self.seen
@@ -115,15 +114,26 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spots, pa.binary()), pa.array(values, pa.binary())], ["order", "y", "spots", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
     """Weights and bias, learnt from labelled rows that aren't held out."""
     text_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("y")).where("_id is not null and y is not null")
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     chosen = known.withColumn("order", F.xxhash64("_id", F.lit("sample"))).orderBy("order", "_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id")
-    one = rows.select("order", "y", "text")
-    sample = one.mapInArrow(_sparse, "order long, y double, spots binary, x binary").toArrow().sort_by([("order", "ascending")])
+    scratch = Scratch(docs.sparkSession)
+    one = rows.groupBy("order", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    written = scratch.save(one.mapInArrow(_sparse, "order long, y double, spots binary, x binary"), sample_rows)
+    sizes = written.select("order", (F.octet_length("spots") * 2).alias("size")).orderBy("order").collect()  # at most sample_rows
+    last, room = None, sample_bytes
+    for r in sizes:
+        if r["size"] <= MOST_BYTES and r["size"] <= room:
+            last, room = r["order"], room - r["size"]
+        elif r["size"] <= MOST_BYTES:
+            break
+    fits = F.lit(False) if last is None else (F.col("order") <= last) & (F.octet_length("spots") * 2 <= MOST_BYTES)
+    sample = written.where(fits).toArrow().sort_by([("order", "ascending")])
+    scratch.drop(written)
     model = Ftrl()
     rows = [(np.frombuffer(s, "<i4"), np.frombuffer(x, "<f4").astype("f8"), y) for s, x, y in zip(*(sample.column(c).to_pylist() for c in ("spots", "x", "y")), strict=True)]
     for epoch in range(EPOCHS):
