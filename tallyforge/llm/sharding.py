@@ -1,27 +1,31 @@
 """Sharding along a Hilbert curve over document metadata, in DataFrame operations only.
 
-Length, source and language are quantised to BITS bits each; rows are ordered by the Hilbert index of their cell, and the
-order is cut into runs of equal row counts (law ``rows``: counts at most one apart). A run is compact in all three
-dimensions, so a filter on any of them leaves out most files.
+Length, source and language are quantised to BITS bits each, all of them in order, so that a class is a range of values; rows are
+ordered by the Hilbert index of their cell, and the order is cut into runs of equal row counts (law ``rows``: counts at most one
+apart). A run is compact in all three dimensions: its least and greatest length, source and language span a small box, so a filter
+on any of them leaves out most files.
 
-The rank of a row is found without a global sort: rows are counted by cell, large cells are split by salt (so that even one
-that holds a third of all rows isn't a task's alone), the counts are summed up along the curve, and rows are numbered within
-cell and salt. There are at most 2 ** (3 * BITS) cells, so the one window over all cells is bounded.
+Classes of a name are cut at quantiles over all rows, of a number that its first bytes make after what all names begin with
+alike; names that agree in these share a class. The order of rows is one range partitioning of a written table (see
+``assign_offsets``), dealt out by cell, row and at last a row number, so that neither a cell that holds a third of all rows nor
+rows that repeat are a task's alone.
 
 Defined cases: a null text counts as none (8 bytes), null source or language as an empty one, rows are ordered within a cell
-and salt by doc_id (nulls first), checksum and size, so repeated rows take neighbouring slots; an empty table gives no rows;
+by doc_id (nulls first), checksum and size, so repeated rows take neighbouring slots; an empty table gives no rows;
 other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import Scratch, table
+from tallyforge.operators.ingest import assign_offsets
 
 DIMS, BITS, SHARDS = 3, 5, 24
-ROWS_PER_SALT = 1 << 10
+#: Bytes of a name that make a number; how exact its quantiles are.
+NAME_BYTES, EXACT = 7, 10_000
 
 
 def _gray(i: int) -> int:
@@ -61,8 +65,30 @@ def length_class(size: Column) -> Column:
     return F.least(F.lit((1 << BITS) - 1), 2 * F.length(digits) - 8 + F.substring(digits, 2, 1).cast("int"))
 
 
-def name_class(name: Column) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(name, F.lit(""))), F.lit(1 << BITS)).cast("int")
+def name_number(name: Column, skip: Column) -> Column:
+    """The bytes of a name after the first so many, as a number in the order of the names."""
+    cut = F.rpad(F.substring(F.hex(F.encode(name, "utf-8")), 2 * skip + 1, F.lit(2 * NAME_BYTES)), 2 * NAME_BYTES, "0")
+    return F.conv(cut, 16, 10).cast("long")
+
+
+def _alike(a: str, b: str) -> int:
+    """How many bytes two names begin with alike."""
+    left, right = a.encode(), b.encode()
+    return next((i for i, (x, y) in enumerate(zip(left, right, strict=False)) if x != y), min(len(left), len(right)))
+
+
+def name_classes(rows: DataFrame, names: list[str]) -> dict[str, Column]:
+    """By column of names (without nulls), its class: how many of at most 2 ** BITS - 1 quantiles aren't above it."""
+    ends = rows.agg(*(f(c).alias(f"{c}{i}") for c in names for i, f in enumerate((F.min, F.max)))).first()
+    numbers = {c: name_number(F.col(c), F.lit(_alike(ends[f"{c}0"] or "", ends[f"{c}1"] or ""))) for c in names}
+    cuts = [F.lit(i / (1 << BITS)) for i in range(1, 1 << BITS)]
+    found = rows.agg(*(F.percentile_approx(number, F.array(*cuts), EXACT).alias(c) for c, number in numbers.items())).first()
+    out = {}
+    for c, number in numbers.items():
+        bounds = found[c] or []  # those that repeat count as often: classes of few values spread over the whole range
+        spots = F.array(*(F.lit(b).cast("long") for b in bounds)).cast("array<bigint>")
+        out[c] = F.size(F.filter(spots, lambda b: b <= number)).cast("int")  # noqa: B023
+    return out
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -75,21 +101,12 @@ def _sharded(docs: DataFrame, shards: int, id_col: str, text_col: str, source_co
     more = ["_row"] if whole else []
     carried = [F.struct(*docs.columns).alias("_row")] if whole else []
     scratch = Scratch(docs.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), name_class(F.col(source_col)).alias("y"), name_class(F.col(lang_col)).alias("z"), *carried)
-    rows = rows.withColumn("x", length_class(F.col("size")))
-    rows = scratch.save(rows.withColumn("curve", hilbert_index("x", "y", "z")).drop("x", "y", "z"))
-    n = rows.count()
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = rows.groupBy("curve").agg(F.count("*").alias("n"))  # at most 2 ** (DIMS * BITS) rows
-    cells = scratch.save(cells.select("curve", F.expr(f"(n - 1) div {ROWS_PER_SALT} + 1").alias("salts"), before(Window.orderBy("curve")).alias("cell_start")))
-    salted = rows.join(F.broadcast(cells), "curve").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("salts")))
-    parts = salted.groupBy("curve", "salt", "cell_start").agg(F.count("*").alias("n"))
-    inside = before(Window.partitionBy("curve").orderBy("salt"))
-    starts = parts.select("curve", "salt", (F.col("cell_start") + inside).alias("start"))
-    order = Window.partitionBy("curve", "salt").orderBy("doc_id", "text_crc32", "size")
-    ranked = salted.withColumn("nth", F.row_number().over(order) - 1).join(starts, ["curve", "salt"])
-    ranked = ranked.withColumn("rank", F.col("start") + F.col("nth"))
+    text, blank = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.coalesce(F.col(source_col).cast("string"), blank).alias("y"), F.coalesce(F.col(lang_col).cast("string"), blank).alias("z"), *carried)
+    rows = scratch.save(rows.withColumn("number", F.monotonically_increasing_id()))
+    n, classes = rows.count(), name_classes(rows, ["y", "z"])
+    placed = rows.withColumn("x", length_class(F.col("size"))).withColumns(classes).withColumn("curve", hilbert_index("x", "y", "z")).drop("x", "y", "z")
+    ranked = assign_offsets(placed, ["curve", "doc_id", "text_crc32", "size", "number"], name="rank")
     out = ranked.withColumn("shard", F.expr(f"int(rank * {shards} div {max(n, 1)})"))
     slot = F.expr(f"rank - (shard * {n}L + {shards - 1}) div {shards}")
     return out.select("doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *more)

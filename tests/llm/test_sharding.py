@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -36,9 +37,8 @@ def held(rows, docs, shards=24):
     assert along == sorted(along)
 
 
-def test_odd_rows(frame, monkeypatch):
+def test_odd_rows(frame):
     held(sharding.hilbert_shards(frame(ODD)).collect(), ODD)
-    monkeypatch.setattr(sharding, "ROWS_PER_SALT", 3)
     docs = [(i % 17, "t" * (i % 5)) for i in range(100)]
     held(sharding.hilbert_shards(frame(docs)).collect(), docs)
 
@@ -62,6 +62,27 @@ def test_written_shards_hold_all(spark, documents, tmp_path):
     assert back.select("shard").distinct().count() == 24 and sorted(r.doc_id for r in back.collect()) == sorted(r.doc_id for r in documents.collect())
 
 
+def test_name_classes_keep_the_order_of_names(spark):
+    r = random.Random(2)
+    names = ["", "host", *(f"host{r.randrange(50):02d}" for _ in range(300)), *["host07"] * 200, "hösté"]
+    rows = spark.createDataFrame([(x, x[::-1]) for x in names], "y string, z string")
+    got = rows.withColumns({f"{c}_class": k for c, k in sharding.name_classes(rows, ["y", "z"]).items()}).collect()
+    for c in ("y", "z"):
+        by = sorted((r[c].encode(), r[f"{c}_class"]) for r in got)
+        assert [k for _, k in by] == sorted(k for _, k in by) and 8 <= len({k for _, k in by}) <= 32 and max(k for _, k in by) < 32
+
+
+def test_filters_read_few_files(spark, tmp_path):
+    """The share of files whose least and greatest value let a filter in, averaged over all values of a column."""
+    sharding.write_shards(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    for column, share in (("source", 0.45), ("lang", 0.6)):
+        files = back.groupBy(F.input_file_name().alias("file")).agg(F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
+        values = [r[0] for r in back.select(column).distinct().collect()]
+        read = [sum(f.lo <= v <= f.hi for f in files) / len(files) for v in values]
+        assert len(files) >= 24 and sum(read) / len(read) <= share
+
+
 def test_no_python_on_the_path(documents):
     assert not re.search("Python|Pandas|Arrow", sharding.hilbert_shards(documents)._jdf.queryExecution().toString())
 
