@@ -76,7 +76,7 @@ def pack(docs: DataFrame, context: int = CONTEXT, buckets: int = BUCKETS, token_
         rows = rows.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n"))
     pieces = rows.select("doc_id", "n", F.explode(F.expr(f"sequence(0L, n div {context})")).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * context).alias("start_token"), F.least(F.lit(context).cast("long"), F.col("n") + 1 - F.col("piece") * context).alias("n_tokens"))
-    pieces = scratch.save(pieces.where("n_tokens > 0"))
+    pieces = scratch.save(pieces.where("n_tokens > 0").withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["n_tokens"]: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}  # at most context rows
     bounds, total = bucket_bounds(histogram, buckets), sum(histogram.values())
     salts = -(-max(total, 1) // ROWS_PER_SALT)
@@ -85,11 +85,11 @@ def pack(docs: DataFrame, context: int = CONTEXT, buckets: int = BUCKETS, token_
         here, room = F.col("n_tokens").between(low + 1, bound), max(1, token_budget // bound)
         bucket, capacity, first_batch = F.when(here, bound).otherwise(bucket), F.when(here, room).otherwise(capacity), F.when(here, F.lit(batches).cast("long")).otherwise(first_batch)
         batches += -(-sum(n for length, n in histogram.items() if low < length <= bound) // room)
-    keyed = pieces.withColumn("mixed", F.xxhash64("doc_id", "piece")).select("*", bucket.cast("long").alias("bucket"), F.pmod("mixed", F.lit(salts)).cast("int").alias("salt"))
+    keyed = pieces.withColumn("mixed", F.xxhash64("row")).select("*", bucket.cast("long").alias("bucket"), F.pmod("mixed", F.lit(salts)).cast("int").alias("salt"))
     counts = keyed.groupBy("bucket", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    order = Window.partitionBy("bucket", "salt").orderBy("mixed", "doc_id", "piece", "n_tokens")
+    order = Window.partitionBy("bucket", "salt").orderBy("mixed", "row")
     ranked = keyed.withColumn("nth", F.row_number().over(order) - 1).join(starts, ["bucket", "salt"]).withColumn("rank", F.col("start") + F.col("nth"))
     placed = ranked.select("*", capacity.cast("long").alias("capacity"), first_batch.cast("long").alias("first_batch"))
     return placed.select("doc_id", "piece", "start_token", "n_tokens", "bucket", (F.col("first_batch") + F.expr("rank div capacity")).alias("batch_id"), F.expr("rank % capacity").alias("slot"), (F.col("bucket") - F.col("n_tokens")).alias("padding"))
