@@ -3,36 +3,64 @@ while it is reached if the threshold is recurring. Falling below re-arms it; a n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalars import saturated
 from tallyforge.operators.dims import dim_sets, dims_text
 from tallyforge.operators.ingest import assign_offsets
-from tallyforge.operators.rollup import with_metric
+from tallyforge.operators.rollup import kinds_of, with_metric
 from tallyforge.operators.running import BLOCK, with_running
 from tallyforge.schemas import KEY, REMOVE
 
 
-def _current(prefix: str) -> Column:
-    """The value that a threshold is held against, by the metric's kind."""
+def _current(prefix: str, kinds: set[str], rows: DataFrame) -> Column:
+    """The value that a threshold is held against, by the metric's kind; measures of other kinds aren't there."""
     c = lambda name: F.col(f"{prefix}{name}")
-    kinds = F.when(F.col("agg_type") == "sum", saturated(c("total"))).when(F.col("agg_type") == "max", F.greatest(c("largest"), F.lit(0)).cast("decimal(20,0)"))
-    kinds = kinds.when(F.col("agg_type") == "latest", F.coalesce(c("newest.value"), F.lit(0)).cast("decimal(20,0)")).when(F.col("agg_type") == "count_unique", c("members").cast("decimal(20,0)"))
-    return kinds.otherwise(c("n").cast("decimal(20,0)"))
+    wide = lambda col: col.cast("decimal(20,0)")
+    found = {
+        "sum": ("total", lambda: saturated(c("total"))),
+        "max": ("largest", lambda: wide(F.greatest(c("largest"), F.lit(0)))),
+        "latest": ("newest", lambda: wide(F.coalesce(c("newest.value"), F.lit(0)))),
+        "count_unique": ("members", lambda: wide(c("members"))),
+    }
+    out = wide(c("n"))
+    for kind, (name, value) in found.items():
+        if kind in kinds and name in rows.columns:
+            out = F.when(F.col("agg_type") == kind, value()).otherwise(out)
+    return out
 
 
 def running_usage(events: DataFrame, metrics: DataFrame, block: int = BLOCK) -> DataFrame:
     """By event and dimension set of metrics with thresholds: usage with it (cur) and before it (prev, null if none)."""
     of = with_metric(events, metrics.where(F.size("thresholds") > 0))
     spread = of.select("account_id", "metric_code", "agg_type", "period_id", "thresholds", "offset", "ts_ns", "value", "operation_type", F.explode(dim_sets(F.col("matched"))).alias("dims"))
-    inside = (F.col("operation_type") != REMOVE).cast("int")
-    earlier = F.coalesce(F.lag(inside).over(Window.partitionBy(*KEY, "value").orderBy("offset")), F.lit(0))
-    spread = spread.withColumn("change", F.when(F.col("agg_type") == "count_unique", inside - earlier).otherwise(0))
+    kinds, by = kinds_of(metrics.where(F.size("thresholds") > 0)), [*KEY, "agg_type"]
     newest = F.when(F.col("ts_ns") > 0, F.struct("ts_ns", (-F.col("offset")).alias("order"), "value"))
-    measures = {"n": ("sum", F.lit(1).cast("long")), "total": ("sum", F.col("value").cast("decimal(20,0)")), "largest": ("max", F.col("value")), "newest": ("max", newest), "members": ("sum", F.col("change").cast("long"))}
-    run = with_running(spread, [*KEY, "agg_type"], measures, block=block)
-    return run.select(*KEY, "agg_type", "thresholds", "offset", "ts_ns", _current("").alias("cur"), F.when(F.col("prev_n").isNotNull(), _current("prev_")).alias("prev"))
+    measures = {
+        "count": ("n", "sum", F.lit(1).cast("long")),
+        "sum": ("total", "sum", F.col("value").cast("decimal(20,0)")),
+        "max": ("largest", "max", F.col("value")),
+        "latest": ("newest", "max", newest),
+    }
+    chosen = {name: (how, col) for kind, (name, how, col) in measures.items() if kind in kinds or kind == "count"}
+    parts = []
+    if kinds - {"count_unique"}:
+        parts.append(with_running(spread.where("agg_type <> 'count_unique'"), by, chosen, block=block))
+    if "count_unique" in kinds:
+        # an operation changes the count if it takes its value in or out: what the value's last operation was decides
+        packed = F.shiftleft("offset", 2).bitwiseOR(F.least(F.col("operation_type").cast("long"), F.lit(3).cast("long")))
+        toggled = with_running(spread.where("agg_type = 'count_unique'"), [*by, "value"], {"op": ("max", packed)}, block=block)
+        inside = (F.col("operation_type") != REMOVE).cast("long")
+        earlier = F.coalesce((F.col("prev_op").bitwiseAND(3) != REMOVE).cast("long"), F.lit(0))
+        change = toggled.withColumn("change", inside - earlier).drop("op", "prev_op")
+        parts.append(with_running(change, by, {"n": ("sum", F.lit(1).cast("long")), "members": ("sum", F.col("change"))}, block=block))
+    if not parts:
+        parts.append(with_running(spread, by, chosen, block=block))
+    run = reduce(lambda x, y: x.unionByName(y), [p.select(*by, "thresholds", "offset", "ts_ns", _current("", kinds, p).alias("cur"), F.when(F.col("prev_n").isNotNull(), _current("prev_", kinds, p)).alias("prev")) for p in parts])
+    return run
 
 
 def alerts(events: DataFrame, metrics: DataFrame, block: int = BLOCK) -> DataFrame:

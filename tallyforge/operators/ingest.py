@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.storage import Scratch
+
+#: Spark's row ids within a partition take so many bits; the partition's number is above them.
+PLACE_BITS = 33
 #: Events are the same when they agree in these; operation and properties don't count.
 DEDUP_KEY = ["metric_code", "account_id", "ts_ns", "value"]
 
@@ -46,13 +50,19 @@ def ingest_result(events: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def assign_offsets(rows: DataFrame, order: list[str], start: int = 0, name: str = "offset", partitions: int | None = None) -> DataFrame:
-    """Numbers rows from ``start`` in a total order, without bringing them into one task: they are cut into ranges, counted by
-    range, and numbered within. Rows that agree in the whole order are interchangeable, so the numbering is deterministic."""
-    cut = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    cut = cut.withColumn("_part", F.spark_partition_id())
-    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    """Numbers rows from ``start`` in a total order, without bringing them into one task: they are cut into ranges once, sorted and
+    numbered within, and written; starts of the ranges are then counted from what was written, so no row can be in another
+    range than the one that it was counted in. Rows that agree in the whole order are interchangeable; they are dealt out by all
+    their columns, so rows that tie in the order alone don't stay in one range."""
+    hashed = [c for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"]
+    keyed = rows.withColumn("_tie", F.xxhash64(*hashed))
+    by = [*order, "_tie"]
+    cut = keyed.repartitionByRange(partitions, *by) if partitions else keyed.repartitionByRange(*by)
+    placed = cut.sortWithinPartitions(*by).drop("_tie").withColumn("_place", F.monotonically_increasing_id())
+    written = Scratch(rows.sparkSession).save(placed)
+    part, nth = F.shiftright("_place", PLACE_BITS), F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    sizes = written.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a partition
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    numbered = cut.withColumn("_nth", nth).join(starts, "_part")
-    return numbered.withColumn(name, F.col("_start") + F.col("_nth") + F.lit(start - 1).cast("long")).drop("_part", "_nth", "_start")
+    numbered = written.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(name, F.col("_start") + nth + F.lit(start).cast("long")).select(*(c for c in rows.columns if c != name), name)

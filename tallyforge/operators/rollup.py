@@ -1,19 +1,22 @@
 """Rollups: mergeable aggregates by account, metric, period and dimension set.
 
-Events are first summed up by the whole vector of matched dimensions, and only these partial aggregates are spread over the
-dimension sets (at most six each), so the shuffle carries partials. Counts, sums and maxima share a pass whose buffers are all
-of fixed width, so it's a hash aggregation; only metrics of the latest value, whose buffer is a struct, need a sorted one.
-Counting distinct values with removals keeps, by value, the last operation, as its order matters.
+Events are scanned once, for all kinds of aggregates together: they are first summed up by the whole vector of matched dimensions
+(and by value, where distinct values are counted), and only these partial aggregates are spread over the dimension sets (at most
+six each), so the shuffle carries partials. Only what the defined kinds need is computed. All buffers are of fixed width, so
+every step is a hash aggregation: the latest value goes by one number made of its time and offset. Counting distinct values with
+removals keeps, by value, the last operation, as its order matters.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalars import resolve_period
 from tallyforge.operators.dims import dim_sets, matched_dims
-from tallyforge.schemas import AGG_TYPES, KEY, REMOVE
+from tallyforge.schemas import AGG_TYPES, DIMS, KEY, REMOVE
 
 _GROUP = ["account_id", "metric_code", "agg_type", "period_id"]
 
@@ -26,56 +29,99 @@ def with_metric(events: DataFrame, metrics: DataFrame) -> DataFrame:
     return out.withColumn("matched", matched_dims(F.col("filters"), F.col("props"))).drop("period_type", "billing_cycle_day", "period_ns", "filters")
 
 
-def _only(kind: str, col: Column) -> Column:
-    return F.when(F.col("agg_type") == kind, col)
+def kinds_of(metrics: DataFrame) -> set[str]:
+    """The kinds of aggregates that definitions ask for: at most as many as there are."""
+    return {r[0] for r in metrics.select("agg_type").distinct().collect()} & set(AGG_TYPES)
+
+
+#: Offsets are below this; a time and an offset make one number of 38 digits.
+_OFFSETS = 10**19
+
+
+def _events_measures(kinds: set[str]) -> dict[str, Column]:
+    """By measure, what an event adds to it. The latest value has the greatest ``last``: its time, then the smallest offset."""
+    only = lambda kind, col: F.when(F.col("agg_type") == kind, col)
+    wide = lambda col: col.cast("decimal(20,0)")
+    last = wide(F.col("ts_ns")) * F.lit(Decimal(_OFFSETS)).cast("decimal(20,0)") + (F.lit(Decimal(_OFFSETS - 1)).cast("decimal(20,0)") - wide(F.col("offset")))
+    # operations other than removal count alike
+    op = F.shiftleft("offset", 2).bitwiseOR(F.least(F.col("operation_type").cast("long"), F.lit(3).cast("long")))
+    out = {"count": F.lit(1).cast("long"), "last_seg_offset": F.col("offset")}
+    if "sum" in kinds:
+        out["sum"] = only("sum", wide(F.col("value")))
+    if "max" in kinds:
+        out["max"] = only("max", F.col("value"))
+    if "latest" in kinds:
+        out["last"] = F.when((F.col("agg_type") == "latest") & (F.col("ts_ns") > 0), last.cast("decimal(38,0)"))
+        out["last_value"] = F.col("value")
+    if "count_unique" in kinds:
+        out["op"] = only("count_unique", op)
+    return out
+
+
+def _combined(rows: DataFrame, kinds: set[str], *by: str) -> DataFrame:
+    """Measures of rows of the same key as one; of events' measures as of partial aggregates."""
+    agg = [F.sum("count").alias("count"), F.max("last_seg_offset").alias("last_seg_offset")]
+    if "sum" in kinds:
+        agg.append(F.sum("sum").cast("decimal(38,0)").alias("sum"))
+    if "max" in kinds:
+        agg.append(F.max("max").alias("max"))
+    if "latest" in kinds:
+        agg += [F.max_by("last_value", "last").alias("last_value"), F.max("last").alias("last")]
+    if "count_unique" in kinds:
+        agg.append(F.max("op").alias("op"))
+    return rows.groupBy(*by).agg(*agg)
+
+
+def _by_vector(events: DataFrame, metrics: DataFrame, kinds: set[str]) -> DataFrame:
+    """Partial aggregates by the whole vector of matched dimensions, and by value (member) where distinct values are counted."""
+    of = with_metric(events, metrics)
+    member = [F.when(F.col("agg_type") == "count_unique", F.col("value")).alias("member")] if "count_unique" in kinds else []
+    rows = of.select(*_GROUP, "matched", *member, *(c.alias(name) for name, c in _events_measures(kinds).items()))
+    return _combined(rows, kinds, *_GROUP, "matched", *(["member"] if member else []))
 
 
-def _sums(rows: DataFrame, *by: str) -> DataFrame:
-    """Counts, sums and maxima of events, or of partial aggregates of them."""
-    partial = "count" in rows.columns
-    total = F.sum("sum") if partial else F.sum(_only("sum", F.col("value").cast("decimal(20,0)")))
-    top = F.max("max") if partial else F.max(_only("max", F.col("value")))
-    return rows.groupBy(*by).agg(
-        F.coalesce(total, F.lit(0)).cast("decimal(38,0)").alias("sum"),
-        (F.sum("count") if partial else F.count("*")).alias("count"),
-        F.greatest(F.coalesce(top, F.lit(0)), F.lit(0)).cast("long").alias("max"),
-        F.max("last_seg_offset" if partial else "offset").alias("last_seg_offset"),
-    )
+def _by_key(events: DataFrame, metrics: DataFrame, kinds: set[str]) -> DataFrame:
+    """The same by key, member and kind."""
+    member = ["member"] if "count_unique" in kinds else []
+    partials = _by_vector(events, metrics, kinds)
+    spread = partials.select("*", F.explode(dim_sets(F.col("matched"))).alias("dims"))
+    return _combined(spread, kinds, *KEY, "agg_type", *member)
 
 
-def _latest(rows: DataFrame, *by: str) -> DataFrame:
-    """Counts and latest values of events, or of partial aggregates of them; a time of 0 is never the latest."""
-    partial = "count" in rows.columns
-    last = F.col("last") if partial else F.when(F.col("ts_ns") > 0, F.struct("ts_ns", (-F.col("offset")).alias("order"), "value"))
-    return rows.groupBy(*by).agg(
-        F.lit(0).cast("decimal(38,0)").alias("sum"),
-        (F.sum("count") if partial else F.count("*")).alias("count"),
-        F.lit(0).cast("long").alias("max"),
-        F.max("last_seg_offset" if partial else "offset").alias("last_seg_offset"),
-        F.max(last).alias("last"),
+def _flat(df: DataFrame, kinds: set[str], *more: str) -> DataFrame:
+    """A rollup's columns, with zeros for what no kind asks for."""
+    zero = lambda c, kind="long": F.coalesce(c, F.lit(0)).cast(kind)
+    none, last = F.lit(0).cast("long"), F.col("last")
+    ts = F.call_function("div", last, F.lit(Decimal(_OFFSETS)))
+    order = (last % F.lit(Decimal(_OFFSETS))) - F.lit(Decimal(_OFFSETS - 1))
+    latest = "latest" in kinds
+    return df.select(
+        *KEY,
+        "agg_type",
+        zero(F.col("sum") if "sum" in kinds else none, "decimal(38,0)").alias("sum"),
+        "count",
+        (F.greatest(zero(F.col("max")), none) if "max" in kinds else none).alias("max"),
+        (F.when(last.isNotNull(), F.col("last_value")).otherwise(none) if latest else none).alias("last_value"),
+        (zero(ts) if latest else none).alias("last_timestamp"),
+        (zero(order) if latest else none).alias("last_order"),
+        "last_seg_offset",
+        *more,
     )
 
 
-_LAST = "struct<ts_ns:bigint,order:bigint,value:bigint>"
-
-
 def vector_partials(events: DataFrame, metrics: DataFrame) -> DataFrame:
     """Partial aggregates by the whole vector of matched dimensions, of all kinds but count_unique."""
-    of = with_metric(events, metrics)
-    by = [*_GROUP, "matched"]
-    sums = _sums(of.where(F.col("agg_type").isin("count", "sum", "max")), *by).withColumn("last", F.lit(None).cast(_LAST))
-    return sums.unionByName(_latest(of.where("agg_type = 'latest'"), *by))
+    of = metrics.where("agg_type <> 'count_unique'")
+    kinds = kinds_of(of)
+    flat = _flat(_by_vector(events, of, kinds).withColumn("dims", F.array().cast(DIMS)).withColumn("_matched", F.col("matched")), kinds, "_matched")
+    return flat.drop("dims").withColumnRenamed("_matched", "matched")
 
 
 def unique_members(events: DataFrame, metrics: DataFrame) -> DataFrame:
     """By key and value, the last operation on it: what distinct counting needs to keep. Offset and operation go into one long
     (offsets below 2 ** 61), so that this is a hash aggregation as well."""
-    of = with_metric(events, metrics).where("agg_type = 'count_unique'")
-    packed = F.shiftleft("offset", 2).bitwiseOR(F.least(F.col("operation_type").cast("long"), F.lit(3).cast("long")))
-    by_vector = of.groupBy(*_GROUP, "matched", "value").agg(F.max(packed).alias("last"))
-    spread = by_vector.select(*_GROUP, "value", "last", F.explode(dim_sets(F.col("matched"))).alias("dims"))
-    members = spread.groupBy(*KEY, "agg_type", "value").agg(F.max("last").alias("last"))
-    return members.select(*KEY, "agg_type", "value", F.col("last").bitwiseAND(3).cast("int").alias("last_op"), F.shiftright("last", 2).alias("last_offset"))
+    members = _by_key(events, metrics.where("agg_type = 'count_unique'"), {"count_unique"})
+    return members.select(*KEY, "agg_type", F.col("member").alias("value"), F.col("op").bitwiseAND(3).cast("int").alias("last_op"), F.shiftright("op", 2).alias("last_offset"))
 
 
 def merge_members(members: DataFrame) -> DataFrame:
@@ -84,11 +130,6 @@ def merge_members(members: DataFrame) -> DataFrame:
     return members.groupBy(*KEY, "agg_type", "value").agg(last).select(*KEY, "agg_type", "value", "last.last_op", "last.last_offset")
 
 
-def _flat(df: DataFrame) -> DataFrame:
-    value = F.coalesce(F.col("last.value"), F.lit(0)).cast("long").alias("last_value")
-    return df.select(*KEY, "agg_type", "sum", "count", "max", value, F.coalesce(F.col("last.ts_ns"), F.lit(0)).cast("long").alias("last_timestamp"), F.coalesce(F.col("last.order"), F.lit(0)).cast("long").alias("last_order"), "last_seg_offset")
-
-
 def members_count(members: DataFrame) -> DataFrame:
     """Rollup rows from members: the count is of the values whose last operation isn't a removal."""
     counted = members.groupBy(*KEY, "agg_type").agg(F.count_if(F.col("last_op") != REMOVE).alias("count"), F.max("last_offset").alias("last_seg_offset"))
@@ -105,20 +146,20 @@ def merge_partials(rows: DataFrame) -> DataFrame:
 
 def ordinary_rollup(events: DataFrame, metrics: DataFrame) -> DataFrame:
     """Rollup rows of all kinds but count_unique."""
-    of = with_metric(events, metrics)
-    by, key = [*_GROUP, "matched"], [*KEY, "agg_type"]
-
-    def spread(partials: DataFrame) -> DataFrame:
-        return partials.select("*", F.explode(dim_sets(F.col("matched"))).alias("dims"))
-
-    sums = _sums(spread(_sums(of.where(F.col("agg_type").isin("count", "sum", "max")), *by)), *key)
-    latest = _latest(spread(_latest(of.where("agg_type = 'latest'"), *by)), *key)
-    return _flat(sums.withColumn("last", F.lit(None).cast(_LAST))).unionByName(_flat(latest))
+    of = metrics.where("agg_type <> 'count_unique'")
+    kinds = kinds_of(of)
+    return _flat(_by_key(events, of, kinds), kinds)
 
 
 def rollup(events: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One row per account, metric, period and dimension set."""
-    return ordinary_rollup(events, metrics).unionByName(members_count(unique_members(events, metrics)))
+    """One row per account, metric, period and dimension set; events are read once, whatever the kinds."""
+    kinds = kinds_of(metrics)
+    rows = _by_key(events, metrics, kinds)
+    if "count_unique" in kinds:
+        inside = (F.col("op").bitwiseAND(3) != REMOVE).cast("long")
+        rows = rows.withColumn("count", F.when(F.col("agg_type") == "count_unique", inside).otherwise(F.col("count")))
+        rows = _combined(rows, kinds, *KEY, "agg_type")
+    return _flat(rows, kinds)
 
 
 def merge_periods(rows: DataFrame, *by: str) -> DataFrame:

@@ -21,19 +21,23 @@ def _combined(kind: str, a: Column, b: Column) -> Column:
 
 def with_running(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, Column]], order: str = "offset", block: int = BLOCK) -> DataFrame:
     """Adds, for each measure (kind sum or max, and a column), ``name`` over the rows of the same keys up to and with this one
-    in order, and ``prev_name`` over those before it (null for the first)."""
-    rows = df.withColumn("_block", F.call_function("div", F.col(order), F.lit(block).cast("long")))
+    in order, and ``prev_name`` over those before it (null for the first).
+
+    Keys and block go into one struct, whose equality takes nulls as equal, so that the join with the totals and the window
+    after it ask for the same partitioning and rows are shuffled once."""
+    number = F.call_function("div", F.col(order), F.lit(block).cast("long"))
+    rows = df.withColumn("_by", F.struct(*keys, number.alias("_block")))
     for name, (_, col) in measures.items():
         rows = rows.withColumn(f"_{name}", col)
-    by = [*keys, "_block"]
-    totals = rows.groupBy(*by).agg(*(_AGG[kind](f"_{name}").alias(f"_t_{name}") for name, (kind, _) in measures.items()))
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    prior = totals.select(*by, *(_AGG[kind](f"_t_{name}").over(before).alias(f"_p_{name}") for name, (kind, _) in measures.items()))
-    rows = rows.join(prior.withColumnsRenamed({k: f"_k_{k}" for k in by}), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]).drop(*(f"_k_{k}" for k in by))
-    inside = Window.partitionBy(*by).orderBy(order)
+    totals = rows.groupBy("_by").agg(*(_AGG[kind](f"_{name}").alias(f"_t_{name}") for name, (kind, _) in measures.items()))
+    same = F.struct(*(F.col(f"_by.{k}") for k in keys)) if keys else F.lit(0)
+    before = Window.partitionBy(same).orderBy("_by._block").rowsBetween(Window.unboundedPreceding, -1)
+    prior = totals.select("_by", *(_AGG[kind](f"_t_{name}").over(before).alias(f"_p_{name}") for name, (kind, _) in measures.items()))
+    rows = rows.join(prior, "_by")
+    inside = Window.partitionBy("_by").orderBy(order)
     upto, earlier = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
     for name, (kind, _) in measures.items():
         prior_, own = F.col(f"_p_{name}"), f"_{name}"
         rows = rows.withColumn(name, _combined(kind, prior_, _AGG[kind](own).over(upto)))
         rows = rows.withColumn(f"prev_{name}", _combined(kind, prior_, _AGG[kind](own).over(earlier)))
-    return rows.drop("_block", *(f"_{n}" for n in measures), *(f"_p_{n}" for n in measures))
+    return rows.drop("_by", *(f"_{n}" for n in measures), *(f"_p_{n}" for n in measures))
