@@ -3,8 +3,11 @@
 Pass 1 sets, for each text's SHA-256, ``PROBES`` positions in a filter whose positions count to two. A position that is
 hit once can only belong to texts that occur once. Pass 2 probes the filter: rows with a position hit once pass straight
 through, the rest are grouped by their hash. False positives of the filter only cost a shuffle of 48 bytes; they don't
-change the result. The filter's size follows the number of rows up to ``max_filter_bits`` (2 ** 28 bits, 32 MB), which is
-the proven bound of what is broadcast; beyond it the filter lets more rows through, and the result stays the same.
+change the result.
+
+The filter has 16 positions a row at any number of rows. Hashes are sharded by a part of them, and a shard's filter has at most
+``max_filter_bits`` positions (2 ** 28, 32 MB), the proven bound of what is broadcast at a time: a table of many rows takes several
+filters one after the other, and since hashes are written by shard, each row meets its own filter alone and is read twice in all.
 
 Defined cases: a null text counts as empty; texts are compared after replacing each run of ASCII white space by one space
 (not trimmed); of equal texts the row with the smallest doc_id stays, null ids come last, and of rows repeated with the same
@@ -23,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import Scratch, join_by_key, table, text_batches
+from tallyforge.storage import new_dir
 
-PROBES = 4
+PROBES, BITS_A_ROW = 4, 16
 SEGMENT_BITS = 20
 FLUSH = 1 << 20
 MAX_FILTER_BITS = 1 << 28
@@ -38,13 +42,18 @@ def squeeze(data: bytes) -> bytes:
     return (b" " if data[:1].isspace() else b"") + b" ".join(words) + (b" " if data[-1:].isspace() else b"")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-    for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        sums = [hashlib.sha256(squeeze(x.as_py() or b"")).digest() for x in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(row, row + len(sums)), pa.int64()), pa.array(sums, pa.binary())], ["doc_id", "row", "sha"])
-        row += len(sums)
+def _digest(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            sums = [hashlib.sha256(squeeze(x.as_py() or b"")).digest() for x in texts]
+            shard = [int.from_bytes(x[-3:], "big") % shards for x in sums]  # positions take the low bytes of words
+            columns = [batch.column(0), pa.array(range(row, row + len(sums)), pa.int64()), pa.array(sums, pa.binary()), pa.array(shard, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "sha", "shard"])
+            row += len(sums)
+
+    return run
 
 
 def positions(shas: pa.Array, bits: int) -> np.ndarray:
@@ -103,7 +112,7 @@ def _probe(bits: int, twice):
 def repeated_filter(digests: DataFrame, n: int, max_filter_bits: int = MAX_FILTER_BITS) -> tuple[int, bytes]:
     """Pass 1: the filter's size in bits, and its positions that were hit at least twice."""
     bits = 1 << SEGMENT_BITS
-    while bits < 16 * n and bits < max_filter_bits:
+    while bits < BITS_A_ROW * n and bits < max_filter_bits:
         bits *= 2
     segments = bits >> SEGMENT_BITS
     built = digests.select("sha").mapInArrow(_build(bits), "segment int, spots binary, hits binary")
@@ -118,17 +127,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
     text_batches(spark)
-    digests = scratch.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_digest, "doc_id long, row long, sha binary"))
-    n = digests.count()
-    bits, twice = repeated_filter(digests, n, max_filter_bits)
-    probed = scratch.save(digests.mapInArrow(_probe(bits, spark.sparkContext.broadcast(twice)), "doc_id long, row long, sha binary, again boolean"))
-    scratch.drop(digests)
+    n = docs.count()
+    shards = max(1, -(-BITS_A_ROW * n // max_filter_bits))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    digests = scratch.save(narrow.mapInArrow(_digest(shards), "doc_id long, row long, sha binary, shard int"), by="shard")
+    path = new_dir(spark, "probed")
+    for shard in range(shards):
+        rows = digests.where(F.col("shard") == shard).drop("shard")
+        bits, twice = repeated_filter(rows, n // shards, max_filter_bits)
+        held = spark.sparkContext.broadcast(twice)
+        rows.mapInArrow(_probe(bits, held), "doc_id long, row long, sha binary, again boolean").write.parquet(f"{path}/shard={shard}")
+        held.destroy()
+    probed = spark.read.schema("doc_id long, row long, sha binary, again boolean, shard int").parquet(path).drop("shard")
     through = probed.where(~F.col("again")).select("doc_id", "row", "sha", F.lit(1).cast("long").alias("group_size"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"))
     again = probed.where("again").drop("again")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     groups = again.groupBy("sha").agg(F.count("*").alias("group_size"), first.alias("first"))
     groups = scratch.save(groups.select("sha", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")), n)
     out = through.unionByName(join_by_key(again, groups, ["sha"], "group_size", n))
+    scratch.drop(digests)
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
 
 

@@ -1,13 +1,15 @@
 """Line dedup: documents probe sharded minimal perfect hashes instead of joining their lines.
 
-Pass 1 hashes every line's key to 128 bits, and sums up per hash the smallest and largest doc_id that hold it and how many do
-(first in each batch of documents, so that a line in a third of all documents arrives as one row a batch). The distinct
-hashes that more than one document holds are sharded by their first half; each shard of about SHARD_KEYS hashes gets a
-minimal perfect hash (levels of bit arrays), which indexes flat arrays: fingerprint (the hash's other half), count and first
-doc_id. Pass 2 streams the documents once more and probes the arrays; a wrong line is told apart by its 64-bit fingerprint.
+Pass 1 hashes every line's key to 128 bits, and sums up per hash the smallest doc_id that holds it and how many do (first in each
+batch of documents, so that a line in a third of all documents arrives as one row a batch). All distinct hashes are sharded by
+their first half; each shard of about SHARD_KEYS hashes gets a minimal perfect hash (levels of bit arrays), which indexes flat
+arrays: a compact fingerprint (32 bits of the other half, which tells lines of other documents) and a count (to 255), and for
+counts above one the first doc_id. Pass 2 streams the documents once more and probes the arrays: a line goes if its count is above
+one and its document isn't the first.
 
-What is broadcast is bounded by ``sweep_bytes``: if the arrays are larger, groups of shards are broadcast one after the other,
-each sweep probes a table of line hashes (16 bytes a line) in place of the texts, and the marks are joined to the documents.
+What is broadcast is bounded by ``sweep_bytes``: if the arrays are larger, groups of shards are broadcast one after the other. The
+lines' hashes (16 bytes a line) are then written once by group, so each sweep reads its own lines alone, in place of the texts, and
+the marks are joined to the documents.
 
 Defined cases: a null or empty text is one empty line; a row with a null doc_id belongs to one nameless document that comes
 after all others; rows that share a doc_id are one document, which alone doesn't make a line repeated; keys of fewer than
@@ -30,7 +32,7 @@ from tallyforge.llm.common import Scratch, table, text_batches
 
 MIN_CHARS = 10
 SHARD_KEYS = 1 << 16
-SWEEP_BYTES = 96 << 20
+SWEEP_BYTES = 48 << 20
 GAMMA = 1.5
 LAST = np.iinfo(np.int64).max
 
@@ -126,24 +128,31 @@ def fold(halves: np.ndarray) -> np.ndarray:
 
 
 class LineArrays:
-    """A shard: a perfect hash that indexes fingerprints, counts and first doc_ids."""
+    """A shard: a perfect hash that indexes fingerprints and counts, and by these the first doc_ids of repeated lines."""
 
     def __init__(self, halves: np.ndarray, first: np.ndarray, n: np.ndarray):
         keys = fold(halves)
         self.hash = PerfectHash(keys)
         odd = np.isin(keys, self.hash.odd)
         at = self.hash(keys[~odd])
-        self.prints, self.first, self.count = np.empty(self.hash.n, "u8"), np.empty(self.hash.n, "i8"), np.empty(self.hash.n, "u4")
-        self.prints[at], self.first[at], self.count[at] = halves[~odd, 1], first[~odd], np.minimum(n[~odd], 2**32 - 1)
-        self.rest = {(int(a), int(b)): int(f) for (a, b), f in zip(halves[odd], first[odd], strict=True)}
+        firsts = np.empty(self.hash.n, "i8")
+        self.prints, self.count = np.empty(self.hash.n, "u4"), np.empty(self.hash.n, "u1")
+        self.prints[at], self.count[at], firsts[at] = halves[~odd, 1].astype("u4"), np.minimum(n[~odd], 255), first[~odd]
+        self.first = firsts[self.count > 1]
+        self.rest = {(int(a), int(b)): int(f) if m > 1 else int(LAST) for (a, b), f, m in zip(halves[odd], first[odd], n[odd], strict=True)}
+        self._rank()
+
+    def _rank(self) -> None:
+        """Where a repeated line's first doc_id is."""
+        self.place = np.cumsum(self.count > 1, dtype="i4") - 1
 
     def firsts(self, halves: np.ndarray) -> np.ndarray:
         """The first doc_id of each repeated line, LAST for lines that aren't repeated."""
         at = self.hash(fold(halves))
         hit = at >= 0
-        hit[hit] = self.prints[at[hit]] == halves[hit, 1]
+        hit[hit] = (self.prints[at[hit]] == halves[hit, 1].astype("u4")) & (self.count[at[hit]] > 1)
         out = np.full(len(halves), LAST, "i8")
-        out[hit] = self.first[at[hit]]
+        out[hit] = self.first[self.place[at[hit]]]
         if self.rest:
             for i, (a, b) in enumerate(halves):
                 out[i] = self.rest.get((int(a), int(b)), out[i])
@@ -168,6 +177,7 @@ class LineArrays:
             alone = np.unpackbits(held["bits"][at : at + (size + 7) // 8], count=size).astype(bool)
             self.hash.levels.append((np.where(alone, np.cumsum(alone) - 1 + placed, -1).astype("i4"), size))
             at, placed = at + (size + 7) // 8, placed + int(alone.sum())
+        self._rank()
         return self
 
 
@@ -234,13 +244,15 @@ def _cleaned(batch: pa.RecordBatch, id_at: int, text_at: int, decide, names: lis
 def line_arrays(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """Of doc_id and text: the shards' arrays, and how many shards there are."""
     sums = docs.mapInArrow(_sum_lines, "h1 long, h2 long, first long, last long, n long")
-    repeated = sums.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).where("first < last")
-    repeated = scratch.save(repeated.drop("last"))
-    shards = -(-max(1, repeated.count()) // SHARD_KEYS)
+    distinct = sums.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    # batches count a document that rows share each for itself
+    distinct = scratch.save(distinct.select("h1", "h2", "first", F.when(F.col("first") == F.col("last"), 1).otherwise(F.col("n")).alias("n")))
+    shards = -(-max(1, distinct.count()) // SHARD_KEYS)
     unsigned = F.pmod(F.pmod(F.shiftrightunsigned("h1", 1), F.lit(shards)) * 2 + F.col("h1").bitwiseAND(1), F.lit(shards)).cast("int")
-    keyed = repeated.select(unsigned.alias("shard"), "h1", "h2", "first", "n")
-    built = keyed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_build, "shard int, arrays binary, size long")
-    return scratch.save(built), shards
+    keyed = distinct.select(unsigned.alias("shard"), "h1", "h2", "first", "n")
+    built = scratch.save(keyed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_build, "shard int, arrays binary, size long"))
+    scratch.drop(distinct)
+    return built, shards
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep_bytes: int = SWEEP_BYTES) -> DataFrame:
@@ -251,7 +263,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     arrays, shards = line_arrays(narrow, scratch)
     sweeps, room = [[]], sweep_bytes
-    for r in arrays.select("shard", "size").orderBy("shard").collect():  # 12 bytes for each SHARD_KEYS repeated lines
+    for r in arrays.select("shard", "size").orderBy("shard").collect():  # 12 bytes for each SHARD_KEYS distinct lines
         if r["size"] > room and sweeps[-1]:
             sweeps, room = [*sweeps, []], sweep_bytes
         sweeps[-1].append(r["shard"])
@@ -273,14 +285,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return docs.mapInArrow(run, schema)
 
+    sweep_of = np.zeros(shards, "i4")
+    for i, some in enumerate(sweeps):
+        sweep_of[some] = i
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            _, owner, index, halves = line_hashes(texts)
-            cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-            at = [index[a:b].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-            sums = [halves[a:b].astype("<u8").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(sums, pa.binary())], ["doc_id", "print", "at", "sums"])
+            _, owner, index, halves = line_hashes(batch.column(1).cast(pa.binary()).to_pylist())
+            sweep = sweep_of[shard_of(halves[:, 0], shards)]
+            order = np.lexsort((sweep, owner))
+            owner, index, halves, sweep = owner[order], index[order], halves[order], sweep[order]
+            new = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(sweep, prepend=-1))
+            ends = np.append(new[1:], len(owner))
+            at = [index[a:b].astype("<i8").tobytes() for a, b in zip(new, ends, strict=True)]
+            sums = [halves[a:b].astype("<u8").tobytes() for a, b in zip(new, ends, strict=True)]
+            rows = pa.array(owner[new])
+            columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(at, pa.binary()), pa.array(sums, pa.binary()), pa.array(sweep[new], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "at", "sums", "sweep"])
 
     def marks(probe: Probe):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +317,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return run
 
     print_ = F.xxhash64(F.col(text_col).cast("string"))
-    sums = scratch.save(narrow.withColumn("print", F.xxhash64("text")).mapInArrow(hashed, "doc_id long, print long, at binary, sums binary"))
-    marked = [scratch.save(sums.mapInArrow(marks(loaded(s)), "doc_id long, print long, goes array<long>")) for s in sweeps]
+    sums = scratch.save(narrow.withColumn("print", F.xxhash64("text")).mapInArrow(hashed, "doc_id long, print long, at binary, sums binary, sweep int"), by="sweep")
+    marked = []
+    for i, some in enumerate(sweeps):
+        probe = loaded(some)
+        marked.append(scratch.save(sums.where(F.col("sweep") == i).drop("sweep").mapInArrow(marks(probe), "doc_id long, print long, goes array<long>")))
+        probe.arrays.destroy()
+    scratch.drop(sums, arrays)
     every = marked[0]
     for m in marked[1:]:
         every = every.unionByName(m)

@@ -25,6 +25,14 @@ def test_odd_rows(frame, bits):
     assert all(r.doc_id == r.keep_id for r in out if r.kept)
 
 
+def test_shards_of_the_filter_give_the_same(frame, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SEGMENT_BITS", 5)
+    docs = ODD + [(100 + i, f"text {i % 20}") for i in range(30)]
+    out = exact_dedup.exact_dedup(frame(docs), max_filter_bits=128).collect()  # 6 filters of at most 128 positions
+    expected, groups = brute(docs)
+    assert sorted(repr((r.doc_id, r.keep_id, r.group_size, bytes(r.sha).hex())) for r in out) == expected and sum(r.kept for r in out) == groups
+
+
 def test_empty_table(frame):
     assert exact_dedup.exact_dedup(frame([])).count() == 0
 
