@@ -58,25 +58,43 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """From tokens and verdict: key (the token under which the rule is filed), antecedent, verdict, confidence, support."""
     spark, scratch = labelled.sparkSession, Scratch(labelled.sparkSession)
+    labelled = labelled.where("verdict is not null")
     items = scratch.save(labelled.select(F.array_append("tokens", F.concat(F.lit(_LABEL), "verdict")).alias("items")))
     schema = "rule long, antecedent array<string>, verdict string, confidence double, support double, key string"
     if items.isEmpty():
         return spark.createDataFrame([], schema).drop("rule")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
-    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 100).alias("verdict"), "confidence", "support")
-    rules = scratch.save(rules.withColumn("rule", F.xxhash64("antecedent", "verdict")))
-    # a rule goes if one of fewer of its tokens is at least as confident
-    member = rules.select("rule", "verdict", F.size("antecedent").alias("n"), "confidence", F.explode("antecedent").alias("token"))
-    small = member.select(*(F.col(c).alias("s_" + c) for c in member.columns))
-    both = small.join(member, (F.col("s_token") == F.col("token")) & (F.col("s_verdict") == F.col("verdict")) & (F.col("s_n") < F.col("n")) & (F.col("s_confidence") >= F.col("confidence")))
-    needless = both.groupBy("rule", "s_rule", "s_n").agg(F.count("*").alias("shared")).where(F.col("shared") == F.col("s_n")).select("rule").distinct()
-    rules = rules.join(needless, "rule", "left_anti")
+    n = items.count()
+    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(items)
+    sets = scratch.save(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
+    label = lambda x: x.startswith(_LABEL)
+    of = sets.withColumn("labels", F.filter("items", label)).withColumn("antecedent", F.filter("items", lambda x: ~label(x)))
+    whole = of.where("size(labels) = 0").select("antecedent", F.col("freq").alias("n_antecedent"))
+    # every subset of a frequent set is frequent, so each antecedent has a row, and so have all its parts with the same verdict
+    both = of.where("size(labels) = 1 and size(antecedent) > 0").select("antecedent", F.substring(F.col("labels")[0], len(_LABEL) + 1, 1 << 20).alias("verdict"), "freq")
+    judged = both.join(whole, "antecedent").select("antecedent", "verdict", (F.col("freq") / F.col("n_antecedent")).alias("confidence"), (F.col("freq") / F.lit(n)).alias("support"), F.size("antecedent").alias("n"))
+    rules = scratch.save(_best_of_parts(scratch.save(judged), scratch).where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.greatest("best", F.lit(0.0)))))
+    rules = rules.withColumn("rule", F.xxhash64("antecedent", "verdict"))
     often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     least = rules.select("rule", F.explode("antecedent").alias("token")).join(often, "token").groupBy("rule").agg(F.min(F.struct("freq", "token")).alias("least"))
     return rules.join(least, "rule").select("antecedent", "verdict", "confidence", "support", F.col("least.token").alias("key"))
 
 
+def _best_of_parts(judged: DataFrame, scratch: Scratch) -> DataFrame:
+    """Antecedents with ``best``, the greatest confidence of fewer of their tokens for the same verdict (0 of a single token). Level
+    by level: an antecedent looks at its parts of one token less, and takes on their best too, so the rows are as many as
+    tokens, and no two rules are compared."""
+    done, level = None, judged.where("n = 1").withColumn("best", F.lit(0.0))
+    for size in range(1, (judged.agg(F.max("n")).first()[0] or 0) + 1):
+        level = scratch.save(level)
+        done = level if done is None else done.unionByName(level)
+        below = level.select(F.col("antecedent").alias("part"), "verdict", F.greatest("confidence", "best").alias("of_part"))
+        above = judged.where(F.col("n") == size + 1)
+        parts = above.select("antecedent", "verdict", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size)), lambda i: F.filter("antecedent", lambda x, j: j != i))).alias("part"))
+        best = parts.join(below, ["part", "verdict"], "left").groupBy("antecedent", "verdict").agg(F.coalesce(F.max("of_part"), F.lit(0.0)).alias("best"))
+        level = above.join(best, ["antecedent", "verdict"])
+    return level if done is None else done
+
+
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, confidence (of the mined rule that decided, else null)."""
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)

@@ -79,3 +79,19 @@ def test_rules_and_verdicts_equal_brute_force(spark):
 
 def test_no_python_on_the_path(pages):
     assert not re.search("PythonUDF|Pandas|Arrow|MapIn", url_rules.url_filter(pages)._jdf.queryExecution().toString())
+
+
+def test_long_urls_and_clashing_columns(spark):
+    long = "http://very.long.xyz/" + "part/" * 40_000 + "?" + "&".join(f"k{i}=v" for i in range(2000))
+    rows = [(1, long, 7, "h", "p", ["t"], "block", 0.5), (2, "http://a.net/x", 8, None, None, [], "allow", 0.1), (2, None, 8, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, row int, host string, path string, tokens array<string>, verdict string, confidence double")
+    out = {(r.page_id, r.host): r for r in url_rules.url_filter(pages).collect()}
+    assert len(out) == 3 and out[1, "very.long.xyz"].path == "/" + "part/" * 40_000 and out[1, "very.long.xyz"].verdict in ("allow", "block")
+    assert out[2, "a.net"].verdict == "block" and out[2, ""].verdict == "allow"
+
+
+def test_labels_without_a_verdict_are_ignored(spark):
+    labels = spark.createDataFrame([("http://a.b/c", "block"), ("http://a.b/d", None)], "url string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.b/z"), (2, "http://q.r/")], "page_id long, url string")
+    out = {r.page_id: r.verdict for r in url_rules.url_filter(pages, rules=[], labels=labels, min_support=0.5).collect()}
+    assert out == {1: "block", 2: "allow"}
