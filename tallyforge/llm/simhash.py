@@ -43,7 +43,7 @@ from tallyforge.llm.components import connected_components
 
 BITS, SEED = 64, 42
 SHINGLE, BITS_APART = 3, 2
-HOT_BUCKET = 64
+HOT_BUCKET = 1024
 #: Bytes of a text whose words are held at a time.
 BLOCK = 1 << 20
 #: Up to so many bits apart, fingerprints of a hot bucket meet halfway.
