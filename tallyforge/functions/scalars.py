@@ -97,6 +97,16 @@ def uuid7_ms(uuid_hex: Column) -> Column:
     return F.conv(F.substring(F.replace(uuid_hex, F.lit("-"), F.lit("")), 1, 12), 16, 10).cast("long")
 
 
+def uuid7(ms: Column, *parts: Column) -> Column:
+    """A UUIDv7 in hex with dashes: 48 bits of milliseconds, version 7, and bits that hashes of the parts stand in for, so that the
+    same event gets the same one."""
+    low, high = F.xxhash64(*parts, F.lit("a")), F.xxhash64(*parts, F.lit("b"))
+    digits = lambda x, n: F.lower(F.lpad(F.hex(x), n, "0"))
+    time = digits(ms.bitwiseAND(F.lit((1 << 48) - 1)), 12)
+    rest = digits(high.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(-(1 << 63))), 16)
+    return F.concat_ws("-", F.substring(time, 1, 8), F.substring(time, 9, 4), F.concat(F.lit("7"), digits(low.bitwiseAND(F.lit(0xFFF)), 3)), F.substring(rest, 1, 4), F.substring(rest, 5, 12))
+
+
 def partition_of(account_id: Column, partitions: int = PARTITIONS) -> Column:
     return F.pmod(account_id, F.lit(partitions)).cast("int")
 

@@ -33,8 +33,9 @@ def _current(prefix: str, kinds: set[str], rows: DataFrame) -> Column:
     return out
 
 
-def running_usage(events: DataFrame, metrics: DataFrame, block: int = BLOCK) -> DataFrame:
-    """By event and dimension set of metrics with thresholds: usage with it (cur) and before it (prev, null if none)."""
+def running_usage(events: DataFrame, metrics: DataFrame, block: int = BLOCK, earlier: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """By event and dimension set of metrics with thresholds: usage with it (cur) and before it (prev, null if none). ``earlier`` is
+    what came before these events: rollup rows of all kinds but count_unique, and members."""
     of = with_metric(events, metrics.where(F.size("thresholds") > 0))
     spread = of.select("account_id", "metric_code", "agg_type", "period_id", "thresholds", "offset", "ts_ns", "value", "operation_type", F.explode(dim_sets(F.col("matched"))).alias("dims"))
     kinds, by = kinds_of(metrics.where(F.size("thresholds") > 0)), [*KEY, "agg_type"]
@@ -46,26 +47,37 @@ def running_usage(events: DataFrame, metrics: DataFrame, block: int = BLOCK) ->
         "latest": ("newest", "max", newest),
     }
     chosen = {name: (how, col) for kind, (name, how, col) in measures.items() if kind in kinds or kind == "count"}
+    needed = {kind for kind in measures if kind in kinds or kind == "count"}
+    ordinary, members = (None, None) if earlier is None else (_ordinary(earlier[0], needed), earlier[1])
     parts = []
     if kinds - {"count_unique"}:
-        parts.append(with_running(spread.where("agg_type <> 'count_unique'"), by, chosen, block=block))
+        parts.append(with_running(spread.where("agg_type <> 'count_unique'"), by, chosen, block=block, initial=ordinary))
     if "count_unique" in kinds:
         # an operation changes the count if it takes its value in or out: what the value's last operation was decides
         packed = F.shiftleft("offset", 2).bitwiseOR(F.least(F.col("operation_type").cast("long"), F.lit(3).cast("long")))
-        toggled = with_running(spread.where("agg_type = 'count_unique'"), [*by, "value"], {"op": ("max", packed)}, block=block)
+        toggled = with_running(spread.where("agg_type = 'count_unique'"), [*by, "value"], {"op": ("max", packed)}, block=block, initial=None if members is None else members.select(*by, "value", F.col("last_op").alias("op")))
         inside = (F.col("operation_type") != REMOVE).cast("long")
         earlier = F.coalesce((F.col("prev_op").bitwiseAND(3) != REMOVE).cast("long"), F.lit(0))
         change = toggled.withColumn("change", inside - earlier).drop("op", "prev_op")
-        parts.append(with_running(change, by, {"n": ("sum", F.lit(1).cast("long")), "members": ("sum", F.col("change"))}, block=block))
+        counts = None if members is None else members.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("last_op") != REMOVE).alias("members"))
+        parts.append(with_running(change, by, {"n": ("sum", F.lit(1).cast("long")), "members": ("sum", F.col("change"))}, block=block, initial=counts))
     if not parts:
         parts.append(with_running(spread, by, chosen, block=block))
     run = reduce(lambda x, y: x.unionByName(y), [p.select(*by, "thresholds", "offset", "ts_ns", _current("", kinds, p).alias("cur"), F.when(F.col("prev_n").isNotNull(), _current("prev_", kinds, p)).alias("prev")) for p in parts])
     return run
 
 
-def alerts(events: DataFrame, metrics: DataFrame, block: int = BLOCK) -> DataFrame:
+def _ordinary(rollup: DataFrame, measures: set[str]) -> DataFrame:
+    """What measures of running usage are after the events of a rollup."""
+    newest = F.when(F.col("last_timestamp") > 0, F.struct(F.col("last_timestamp").alias("ts_ns"), F.col("last_order").alias("order"), F.col("last_value").alias("value")))
+    found = {"n": F.col("count"), "total": F.col("sum"), "largest": F.col("max"), "newest": newest}
+    measured = {kind: name for kind, name in (("count", "n"), ("sum", "total"), ("max", "largest"), ("latest", "newest")) if kind in measures}
+    return rollup.select(*KEY, "agg_type", *(found[name].alias(name) for name in measured.values()))
+
+
+def alerts(events: DataFrame, metrics: DataFrame, block: int = BLOCK, earlier: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """A row for each time a threshold fires."""
-    each = running_usage(events, metrics, block).select("*", F.posexplode("thresholds").alias("threshold_index", "threshold"))
+    each = running_usage(events, metrics, block, earlier).select("*", F.posexplode("thresholds").alias("threshold_index", "threshold"))
     crossed, before = F.col("cur") >= F.col("threshold.value"), F.coalesce(F.col("prev") >= F.col("threshold.value"), F.lit(False))
     fired = each.where(crossed & (F.col("threshold.recurring") | ~before))
     return fired.select(*KEY, "threshold_index", F.col("threshold.code").alias("threshold_code"), F.col("cur").alias("value_at_cross"), F.col("ts_ns").alias("event_timestamp"), "offset")

@@ -37,14 +37,19 @@ def exposition(kind: str, name: str, help_text: str, samples: list[tuple[dict[st
     return "\n".join(lines) + "\n"
 
 
+def histogram_text(name: str, help_text: str, counts: list[int], total_ns: int) -> str:
+    """A histogram's lines, in seconds, from the count of each bucket."""
+    lines, upto = [f"# HELP {name} {help_text}", f"# TYPE {name} histogram"], 0
+    for bound, n in zip([*BUCKETS_NS, None], counts, strict=True):
+        upto += n
+        le = "+Inf" if bound is None else f"{bound / 1e9:g}"
+        lines.append(f'{name}_bucket{{le="{le}"}} {upto}')
+    return "\n".join([*lines, f"{name}_sum {total_ns / 1e9:.9f}", f"{name}_count {upto}"]) + "\n"
+
+
 def histogram_exposition(name: str, help_text: str, histogram: DataFrame, total_ns: int) -> str:
-    """A histogram's lines, in seconds."""
-    lines, last = [f"# HELP {name} {help_text}", f"# TYPE {name} histogram"], 0
-    for r in histogram.orderBy("bucket").collect():  # one row a bucket
-        bound = "+Inf" if r["le_ns"] is None else f"{r['le_ns'] / 1e9:g}"
-        lines.append(f'{name}_bucket{{le="{bound}"}} {r["cumulative"]}')
-        last = r["cumulative"]
-    return "\n".join([*lines, f"{name}_sum {total_ns / 1e9:.9f}", f"{name}_count {last}"]) + "\n"
+    """The lines of a histogram that ``latency_histogram`` made."""
+    return histogram_text(name, help_text, [r["n"] for r in histogram.orderBy("bucket").collect()], total_ns)  # one row a bucket
 
 
 def engine_status(events: DataFrame, rollup: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ def _combined(kind: str, a: Column, b: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
 
 
-def with_running(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, Column]], order: str = "offset", block: int = BLOCK) -> DataFrame:
+def with_running(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, Column]], order: str = "offset", block: int = BLOCK, initial: DataFrame | None = None) -> DataFrame:
     """Adds, for each measure (kind sum or max, and a column), ``name`` over the rows of the same keys up to and with this one
     in order, and ``prev_name`` over those before it (null for the first).
 
+    ``initial`` has, by key, what the measures are before the first row (columns keys and measures); orders aren't negative then.
     Keys and block go into one struct, whose equality takes nulls as equal, so that the join with the totals and the window
     after it ask for the same partitioning and rows are shuffled once."""
     number = F.call_function("div", F.col(order), F.lit(block).cast("long"))
@@ -30,6 +31,9 @@ def with_running(df: DataFrame, keys: list[str], measures: dict[str, tuple[str,
     for name, (_, col) in measures.items():
         rows = rows.withColumn(f"_{name}", col)
     totals = rows.groupBy("_by").agg(*(_AGG[kind](f"_{name}").alias(f"_t_{name}") for name, (kind, _) in measures.items()))
+    if initial is not None:
+        before_all = initial.select(F.struct(*keys, F.lit(-1).cast("long").alias("_block")).alias("_by"), *(F.col(name).cast(totals.schema[f"_t_{name}"].dataType).alias(f"_t_{name}") for name in measures))
+        totals = totals.unionByName(before_all)
     same = F.struct(*(F.col(f"_by.{k}") for k in keys)) if keys else F.lit(0)
     before = Window.partitionBy(same).orderBy("_by._block").rowsBetween(Window.unboundedPreceding, -1)
     prior = totals.select("_by", *(_AGG[kind](f"_t_{name}").over(before).alias(f"_p_{name}") for name, (kind, _) in measures.items()))

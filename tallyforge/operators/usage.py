@@ -78,7 +78,15 @@ def events_list(events: DataFrame, metrics: DataFrame, account_id: int, since_ns
     return out.select("offset", "ts_ns", "account_id", F.coalesce("known_code", F.lit("")).alias("metric_code"), "value", "operation_type")
 
 
-def alerts_list(alert_log: DataFrame, account_id: int = 0, since_index: int = 0, limit: int = ALERTS_PAGE) -> DataFrame:
-    """Alerts of an account (0: of all) from an index on."""
+def alerts_list(alert_log: DataFrame, account_id: int = 0, since_index: int = 0, limit: int = ALERTS_PAGE, metrics: DataFrame | None = None) -> DataFrame:
+    """Alerts of an account (0: of all) from an index on. Given the present definitions, codes of metrics and thresholds that
+    aren't defined any more are blank."""
     mine = F.lit(account_id == 0) | (F.col("account_id") == account_id)
-    return alert_log.where((F.col("log_index") >= since_index) & mine).orderBy("log_index").limit(limit)
+    page = alert_log.where((F.col("log_index") >= since_index) & mine).orderBy("log_index").limit(limit)
+    if metrics is None:
+        return page
+    known = metrics.select("metric_code", F.size("thresholds").alias("_n"))
+    named = page.join(known, "metric_code", "left")
+    code = F.when(F.col("threshold_index") < F.col("_n"), F.col("threshold_code")).otherwise("")
+    blank = named.withColumn("threshold_code", code).withColumn("metric_code", F.when(F.col("_n").isNotNull(), F.col("metric_code")).otherwise(""))
+    return blank.select(*page.columns).orderBy("log_index")

@@ -6,19 +6,22 @@ A query takes a session and the folder of the tables. Constants are arguments of
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.scalars import calendar_period, day_period, fixed_period, fnv1a64, week_period
+from tallyforge.functions.scalars import calendar_period, day_period, fixed_period, fnv1a64, uuid7, uuid7_ms, week_period
 from tallyforge.operators import alerts as al
 from tallyforge.operators import ingest, observability, partitions, progress, quality, registry, retention, usage
 from tallyforge.operators.dims import dims_text
-from tallyforge.operators.registry import Metric, metrics_table
+from tallyforge.operators.registry import Metric, Threshold, metrics_table
 from tallyforge.operators.rollup import rollup
 from tallyforge.plans import oracle as o
 from tallyforge.schemas import LATE_GRACE_NS, NS_PER_DAY, NS_PER_SECOND
-from tallyforge.sources import json_events
+from tallyforge.sources import json_events, segments
+from tallyforge.sources.synthetic import BASE_NS, synthetic_events
 from tallyforge.sources.tables import ALERT_METRICS, EVENT_METRICS, ORDERS, SHIPPED, SHIPPED_LATEST, app_events, order_events, read, replayed, shipments
 from tallyforge.storage import new_dir
 from tallyforge.streaming import alert_stream, rollup_stream
@@ -27,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-ACCOUNT, CUSTOMER = 7, 10
+ACCOUNT, CUSTOMER = 7, 5
 JAN1, JAN8, JAN20 = (x * NS_PER_SECOND for x in (1_704_067_200, 1_704_672_000, 1_705_708_800))
 JAN10_NOON = 1_704_888_000 * NS_PER_SECOND
 Y1996, Y1999 = 820_454_400 * NS_PER_SECOND, 915_148_800 * NS_PER_SECOND
@@ -128,7 +131,6 @@ def rollup_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _usage(name: str, code: str, start: int, end: int, filters: dict[str, str] | None = None, metric: Metric | None = None, known: bool = True) -> None:
     metric = metric or BY_CODE.get(code)
-    first, last = (metric if known else Metric(code, "count")).period_range(start, end)
     dims = ";".join(f"{k}={v}" for k, v in sorted((filters or {}).items()))
     of = [metric] if known else [m for m in EVENT_METRICS if m.code != code]
 
@@ -137,7 +139,7 @@ def _usage(name: str, code: str, start: int, end: int, filters: dict[str, str] |
         rows = rollup(events, metrics_table(spark, of))
         return _measures(usage.usage_query(rows, ACCOUNT, code, metric if known else None, start, end, filters))
 
-    query(name, f"WITH {o.APP_EVENTS}, {o.rollup_sql(of)} SELECT {o.MERGED} FROM roll WHERE account_id = {ACCOUNT} AND metric_code = '{code}' AND period_id BETWEEN {first} AND {last} AND dims = '{dims}'")(run)
+    query(name, f"WITH {o.APP_EVENTS}, {o.rollup_sql(of)} SELECT {o.MERGED} FROM roll WHERE account_id = {ACCOUNT} AND metric_code = '{code}' AND {o.touched(metric if known else None, start, end)} AND dims = '{dims}'")(run)
 
 
 _usage("usage_query_range", "purchase", JAN1, JAN20)
@@ -151,39 +153,46 @@ _usage("usage_dim_single", "click", JAN1, JAN20, {"parity": "even"})
 _usage("usage_dim_and2", "click", JAN1, JAN20, {"parity": "odd", "kband": "1"})
 
 
-@query("usage_realtime_at", f"WITH {o.APP_EVENTS}, {o.rollup_sql(EVENT_METRICS)} SELECT {o.MERGED} FROM roll WHERE account_id = {ACCOUNT} AND metric_code = 'click' AND period_id = {BY_CODE['click'].period_of(JAN10_NOON)} AND dims = ''")
+@query("usage_realtime_at", f"WITH {o.APP_EVENTS}, {o.rollup_sql(EVENT_METRICS)} SELECT {o.MERGED} FROM roll WHERE account_id = {ACCOUNT} AND metric_code = 'click' AND period_id = {o.period_at(BY_CODE['click'], JAN10_NOON)} AND dims = ''")
 def usage_realtime_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measures(usage.usage_realtime(_app_rollup(spark, sf_dir, "click"), ACCOUNT, BY_CODE["click"], JAN10_NOON))
 
 
-_FIRST, _LAST = SHIPPED.period_range(Y1996, Y1999)
 _TWO = {"returnflag": "A", "linestatus": "F"}
+_SEGMENTS = SHIPPED.filters["segment"]
 
 
-@query("usage_dim_and2_of_3_exact_set", f"WITH {o.SHIPMENTS}, {o.rollup_sql([SHIPPED])} SELECT {o.MERGED} FROM roll WHERE account_id = {CUSTOMER} AND period_id BETWEEN {_FIRST} AND {_LAST} AND dims = 'linestatus=F;returnflag=A'")
+@query(
+    "usage_dim_and2_of_3_exact_set",
+    f"WITH {o.SHIPMENTS}, {o.rollup_sql([SHIPPED])} "
+    + " UNION ALL ".join(
+        f"SELECT '{segment}' AS segment, {o.MERGED} FROM roll WHERE account_id = {CUSTOMER} AND {o.touched(SHIPPED, Y1996, Y1999)} AND dims = 'linestatus=O;segment={segment}'" for segment in _SEGMENTS
+    ),
+)
 def usage_dim_and2_of_3_exact_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rollup(shipments(spark, sf_dir), metrics_table(spark, [SHIPPED]))
-    return _measures(usage.usage_query(rows, CUSTOMER, "shipped", SHIPPED, Y1996, Y1999, _TWO))
+    """By segment (a customer has one); line items with a declared return flag match three dimensions and don't count."""
+    rows = rollup(shipments(spark, sf_dir).where(F.col("account_id") == CUSTOMER), metrics_table(spark, [SHIPPED]))
+    parts = [_measures(usage.usage_query(rows, CUSTOMER, "shipped", SHIPPED, Y1996, Y1999, {"linestatus": "O", "segment": x}).withColumn("segment", F.lit(x)), "segment") for x in _SEGMENTS]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @query(
     "usage_dim_and2_subset",
     f"""WITH {o.SHIPMENTS}, {o.spread_sql([SHIPPED])}
     SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS sum, count(*) AS count, 0::BIGINT AS max, 0::BIGINT AS last_value, 0::BIGINT AS last_timestamp, CAST(coalesce(max("offset"), 0) AS BIGINT) AS last_seg_offset
-    FROM placed WHERE account_id = {CUSTOMER} AND period_id BETWEEN {_FIRST} AND {_LAST} AND d1 = 'linestatus=F' AND d2 = 'returnflag=A'""",
+    FROM placed WHERE account_id = {CUSTOMER} AND {o.touched(SHIPPED, Y1996, Y1999)} AND d1 = 'linestatus=F' AND d2 = 'returnflag=A'""",
 )
 def usage_dim_and2_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measures(usage.usage_query_subset(shipments(spark, sf_dir), metrics_table(spark, [SHIPPED]), CUSTOMER, SHIPPED, Y1996, Y1999, _TWO))
 
 
 def _breakdown_sql(source: str, metric: Metric, account: int, start: int, end: int, keys: list[str]) -> str:
-    first, last = metric.period_range(start, end)
     ordered = sorted(keys)
     named = ", ".join(f"split_part(split_part(dims, ';', {ordered.index(k) + 1}), '=', 2) AS dim_{i}" for i, k in enumerate(keys))
     like = ";".join(f"{k}=%" for k in ordered)
     n = len(keys) - 1
     return f"""WITH {source}, {o.rollup_sql([metric])} SELECT * FROM (SELECT {named}, {o.MERGED} FROM roll WHERE account_id = {account} AND metric_code = '{metric.code}'
-      AND period_id BETWEEN {first} AND {last} AND dims LIKE '{like}' AND length(dims) - length(replace(dims, ';', '')) = {n} GROUP BY {", ".join(str(i + 1) for i in range(len(keys)))}) WHERE sum <> 0 OR count <> 0 OR max <> 0"""
+      AND {o.touched(metric, start, end)} AND dims LIKE '{like}' AND length(dims) - length(replace(dims, ';', '')) = {n} GROUP BY {", ".join(str(i + 1) for i in range(len(keys)))}) WHERE sum <> 0 OR count <> 0 OR max <> 0"""
 
 
 def _breakdown(name: str, keys: list[str]) -> None:
@@ -373,6 +382,19 @@ _listed("alerts_list_since", 0, 50)
 _listed("alerts_list_account", ACCOUNT, 0)
 
 
+@query(
+    "alerts_list_deleted_metric",
+    f"""WITH {o.APP_EVENTS}, {o.alerts_sql(ALERT_METRICS)}, log AS ({_LOG}) SELECT log_index, account_id, CASE WHEN metric_code = 'click' THEN '' ELSE metric_code END AS metric_code,
+    CASE WHEN metric_code = 'click' OR threshold_index = 1 THEN '' ELSE threshold_code END AS threshold_code, CAST(cur AS BIGINT) AS value_at_cross FROM log ORDER BY log_index LIMIT 256""",
+)
+def alerts_list_deleted_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One metric was deleted after its alerts fired, and the others lost their second threshold."""
+    log = al.alert_log(al.alerts(app_events(spark, sf_dir), metrics_table(spark, ALERT_METRICS)))
+    left = metrics_table(spark, [replace(m, thresholds=m.thresholds[:1]) for m in ALERT_METRICS if m.code != "click"])
+    page = usage.alerts_list(log, metrics=left)
+    return page.select("log_index", "account_id", "metric_code", "threshold_code", F.col("value_at_cross").cast("long").alias("value_at_cross"))
+
+
 # --- event time
 
 
@@ -424,7 +446,7 @@ def partition_moves_2_to_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NOW = JAN20 + 80 * NS_PER_DAY
 _CUTOFF = _NOW - 90 * NS_PER_DAY
-_CUTOFFS = " ".join(f"WHEN '{m.code}' THEN {m.period_of(_CUTOFF)}" for m in EVENT_METRICS)
+_CUTOFFS = " ".join(f"WHEN '{m.code}' THEN {o.period_at(m, _CUTOFF)}" for m in EVENT_METRICS)
 
 
 @query("retention_survivors", f"WITH {o.APP_EVENTS} SELECT \"offset\", ts_ns FROM app WHERE ts_ns >= {_CUTOFF}")
@@ -500,9 +522,14 @@ def metric_code_fnv1a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, events: DataFrame, files: int = 4) -> str:
-    """Events as so many files, in the order of their offsets."""
+    """Events as so many files, in the order of their offsets: written one after the other, as streams read by the files' times."""
     path = new_dir(spark, "landing")
-    events.repartitionByRange(files, "offset").sortWithinPartitions("offset").write.parquet(path)
+    bounds = events.approxQuantile("offset", [i / files for i in range(1, files)], 0.01)
+    part = F.lit(0)
+    for b in bounds:
+        part = part + (F.col("offset") > b).cast("int")
+    for i in range(files):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -520,7 +547,85 @@ def stream_rollup_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_alerts_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = rollup_stream.read_events_stream(spark, _landed(spark, app_events(spark, sf_dir)))
     target = new_dir(spark, "alerts")
-    out = alert_stream.alert_stream(stream, metrics_table(spark, ALERT_METRICS))
-    out.writeStream.format("parquet").option("path", target).option("checkpointLocation", new_dir(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(out.schema).parquet(target)
-    return rows.withColumn("value_at_cross", F.col("value_at_cross").cast("long"))
+    alert_stream.start_alerts(stream, metrics_table(spark, ALERT_METRICS), target, new_dir(spark, "progress")).awaitTermination()
+    return alert_stream.read_alerts(spark, target).withColumn("value_at_cross", F.col("value_at_cross").cast("long"))
+
+
+# --- record logs, side-cars, synthetic events
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as fixed-length records, read back, with the code that a hash stands for."""
+    events = app_events(spark, sf_dir).withColumn("metric_hash", fnv1a64(F.col("metric_code")))
+    codes = metrics_table(spark, EVENT_METRICS).select("metric_code", fnv1a64(F.col("metric_code")).alias("metric_hash"))
+    back = segments.decode_events(segments.encode_events(events)).join(F.broadcast(codes), "metric_hash")
+    return back.select("offset", "ts_ns", "account_id", "metric_code", F.col("value").cast("long").alias("value"), "operation_type")
+
+
+@query("segment_records", f"WITH {o.APP_EVENTS} SELECT {_EVENT_COLUMNS} FROM app")
+def segment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir)
+
+
+@query("segment_from_offset", f'WITH {o.APP_EVENTS} SELECT {_EVENT_COLUMNS} FROM app WHERE "offset" >= 500')
+def segment_from_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.between(_records(spark, sf_dir), 500)
+
+
+@query("segment_point_read", f'WITH {o.APP_EVENTS} SELECT {_EVENT_COLUMNS} FROM app WHERE "offset" = 500')
+def segment_point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.between(_records(spark, sf_dir), 500, 501)
+
+
+@query("props_sidecar", f"WITH {o.APP_EVENTS} SELECT \"offset\", CAST(k // 25 AS VARCHAR) AS kband, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, 2 AS n_props FROM (SELECT event_id AS \"offset\", k FROM raw)")
+def props_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties in records of their own, read back and put to their events."""
+    events = app_events(spark, sf_dir)
+    props = segments.decode_props(segments.encode_props(events))
+    return segments.with_props(events.drop("props"), props).select("offset", F.col("props.kband").alias("kband"), F.col("props.parity").alias("parity"), F.size("props").alias("n_props"))
+
+
+@query("synthetic_profile", "SELECT 20000::BIGINT AS n_events, 20000::BIGINT AS n_offsets, 20::BIGINT AS n_metrics, true AS accounts_fit, true AS accounts_are_skewed, true AS a_tenth_is_removed, true AS some_repeat, true AS some_are_late")
+def synthetic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = synthetic_events(spark, 20_000)
+    repeated = ingest.duplicates(events).agg(F.coalesce(F.sum("n_duplicates"), F.lit(0)).alias("n"))
+    seen = events.agg(
+        F.count("*").alias("n_events"),
+        F.count_distinct("offset").alias("n_offsets"),
+        F.count_distinct("metric_code").alias("n_metrics"),
+        ((F.min("account_id") == 1) & (F.max("account_id") <= 1000)).alias("accounts_fit"),
+        (F.count_if(F.col("account_id") == 1) > 0.1 * F.count("*")).alias("accounts_are_skewed"),
+        F.avg((F.col("operation_type") == 2).cast("int")).between(0.08, 0.12).alias("a_tenth_is_removed"),
+        F.avg((F.col("ts_ns") < BASE_NS + F.col("offset") * NS_PER_SECOND - 2 * NS_PER_SECOND).cast("int")).between(0.01, 0.03).alias("some_are_late"),
+    )
+    return seen.join(F.broadcast(repeated.select(F.col("n").between(100, 300).alias("some_repeat"))))  # one row each
+
+
+@query("rotated_files", f"WITH {o.APP_EVENTS} SELECT metric_code, CAST(DATE '1970-01-01' + CAST(ts_ns // {NS_PER_DAY} AS INTEGER) AS DATE) AS event_date, count(*) AS n_events, true AS files_are_small FROM app GROUP BY ALL")
+def rotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written by metric and day into files of at most 50, and counted by where they are."""
+    path = new_dir(spark, "rotated")
+    segments.write_events(app_events(spark, sf_dir).coalesce(2), path, records_per_file=50)
+    files = spark.read.parquet(path).groupBy("metric_code", "event_date", F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    return files.groupBy("metric_code", "event_date").agg(F.sum("n").alias("n_events"), (F.max("n") <= 50).alias("files_are_small"))
+
+
+@query("uuid7_roundtrip", f"WITH {o.APP_EVENTS} SELECT \"offset\", ts_ns // 1000000 AS ms, true AS is_version_7 FROM app")
+def uuid7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = app_events(spark, sf_dir).select("offset", uuid7(F.expr("ts_ns div 1000000"), F.col("offset")).alias("uuid"))
+    return key.select("offset", uuid7_ms(F.col("uuid")).alias("ms"), F.col("uuid").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$").alias("is_version_7"))
+
+
+_HUGE = Metric("purchase", "sum", "calendar", 1, thresholds=(Threshold("full", 2**64 - 1),))
+
+
+@query(
+    "sum_saturates",
+    f"""WITH {o.APP_EVENTS}, placed AS (SELECT *, {o.period_sql("calendar", 1)} AS period_id FROM app WHERE metric_code = 'purchase'),
+    counted AS (SELECT *, row_number() OVER (PARTITION BY account_id, period_id ORDER BY "offset") AS nth FROM placed)
+    SELECT account_id, CAST(period_id AS BIGINT) AS period_id, '18446744073709551615' AS value_at_cross, "offset" FROM counted WHERE nth = 4""",
+)
+def sum_saturates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each payment is 2 ** 62, so the fourth of a month brings the sum beyond 64 bits."""
+    events = app_events(spark, sf_dir).where("metric_code = 'purchase'").withColumn("value", F.lit(2**62))
+    return al.alerts(events, metrics_table(spark, [_HUGE])).select("account_id", "period_id", F.col("value_at_cross").cast("string").alias("value_at_cross"), "offset")

@@ -22,7 +22,7 @@ app AS (
     CAST(round(l_extendedprice * (1 - l_discount) * 1000000) AS BIGINT) AS value, 0 AS operation_type,
     CASE WHEN l_linestatus IN ('F', 'O') THEN 'linestatus=' || l_linestatus END AS d1,
     CASE WHEN l_returnflag IN ('A', 'R') THEN 'returnflag=' || l_returnflag END AS d2,
-    CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'segment=' || c_mktsegment END AS d3
+    CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY') THEN 'segment=' || c_mktsegment END AS d3
   FROM numbered JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 )"""
 ORDERS = """
@@ -41,6 +41,17 @@ def period_sql(period_type: str, cycle_day: int = 0, period_ns: int = 0, ts: str
     return f"CASE WHEN {ts} + {shift} <= 0 THEN 0 ELSE ({ts} + {shift}) // {length} END"
 
 
+def period_at(metric: Metric | None, ts_ns: int) -> str:
+    """The period of an instant, as SQL; a metric that isn't known has periods of 30 days."""
+    kind = (metric.period_type, metric.billing_cycle_day, metric.period_ns) if metric else ("fixed",)
+    return f"({period_sql(*kind, ts=str(ts_ns))})"
+
+
+def touched(metric: Metric | None, start_ns: int, end_ns: int) -> str:
+    """That period_id is one that [start, end) touches; an empty range touches the period of its start."""
+    return f"period_id BETWEEN {period_at(metric, start_ns)} AND {period_at(metric, max(start_ns, end_ns - 1))}"
+
+
 def metric_period_sql(metrics: list[Metric]) -> str:
     cases = " ".join(f"WHEN '{m.code}' THEN {period_sql(m.period_type, m.billing_cycle_day, m.period_ns)}" for m in metrics)
     return f"CASE metric_code {cases} END"

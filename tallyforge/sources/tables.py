@@ -28,7 +28,7 @@ ALERT_METRICS = [
     Metric("signup", "count_unique", "calendar", 15, filters=_PROPS, thresholds=(Threshold("some", 3), Threshold("many", 6, True))),
     Metric("error", "latest", "fixed", filters=_PROPS, thresholds=(Threshold("above", 200_000_000),)),
 ]
-SHIPPED = Metric("shipped", "sum", "calendar", 1, filters={"returnflag": ["A", "R"], "linestatus": ["F", "O"], "segment": ["BUILDING", "MACHINERY"]})
+SHIPPED = Metric("shipped", "sum", "calendar", 1, filters={"returnflag": ["A", "R"], "linestatus": ["F", "O"], "segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"]})
 SHIPPED_LATEST = Metric("shipped", "latest", "fixed", filters=SHIPPED.filters)
 ORDERS = Metric("orders", "sum", "calendar", 1)
 

@@ -1,6 +1,7 @@
 """Operators against golden values and a scalar model."""
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +121,39 @@ def test_ingest(spark):
     assert sorted((r.offset, r.ts_ns) for r in numbered.collect()) == [(10, 5), (11, 5), (12, 6)]
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_offsets_of_many_wide_rows_have_no_gap(spark, coalesce):
+    """With Spark's own number of partitions, and rows large enough that adaptive execution deals them out anew."""
+    n, held = 2_000_000, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        rows = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("k"), F.repeat(F.col("id").cast("string"), 8).alias("payload"))
+        out = ingest.assign_offsets(rows, ["k"], start=5)
+        got = out.agg(F.count("*"), F.count_distinct("offset"), F.min("offset"), F.max("offset"), F.count_distinct("payload")).first()
+        assert tuple(got) == (n, n, 5, n + 4, n)
+        blocks = out.groupBy("k").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"), F.count("*").alias("n")).orderBy("k").collect()
+        assert all(b.hi - b.lo + 1 == b.n for b in blocks) and all(a.hi + 1 == b.lo for a, b in zip(blocks, blocks[1:]))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_a_rollup_reads_events_once(spark, sf_dir):
+    from tallyforge.sources.tables import EVENT_METRICS, app_events
+
+    text = rollup(app_events(spark, sf_dir), metrics_table(spark, EVENT_METRICS))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") == 1 and "SortAggregate" not in text
+
+
+def test_uuid7(spark):
+    from tallyforge.functions.scalars import uuid7, uuid7_ms
+
+    ms = [0, 1, 1_704_067_200_000, (1 << 48) - 1]
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate(ms)], "ms long, id int").select("ms", uuid7(F.col("ms"), F.col("id")).alias("u")).withColumn("back", uuid7_ms(F.col("u"))).collect()
+    assert all(r.back == r.ms and uuid.UUID(r.u).version == 7 and uuid.UUID(r.u).variant == uuid.RFC_4122 for r in rows) and len({r.u[-12:] for r in rows}) == 4
+
+
 def test_watermark(spark):
     minute = 60 * 1_000_000_000
     rows = [event(1, ts=1000 * minute), event(2, ts=2000 * minute), event(3, ts=500 * minute), event(4, ts=1995 * minute), event(5, ts=1995 * minute - 1)]
