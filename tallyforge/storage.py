@@ -52,12 +52,17 @@ class Scratch:
         for df in tables:
             self._remove(df._scratch_path)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables of this folder but these, which the result still reads."""
+        kept = {df._scratch_path for df in tables}
+        for i in range(1, self._n + 1):
+            if (path := f"{self.root}/{i:03d}") not in kept:
+                self._remove(path)
+
     def finish(self, df: DataFrame, rows: int | None = None) -> DataFrame:
         """The table as ``save`` gives it, and all others of this folder removed: for results that read nothing else any more."""
-        earlier = self._n
         out = self.save(df, rows)
-        for i in range(1, earlier + 1):
-            self._remove(f"{self.root}/{i:03d}")
+        self.keep(out)
         return out
 
     def _remove(self, path: str) -> None:
