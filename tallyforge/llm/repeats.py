@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import Scratch, join_by_key, release_shuffles, table, text_batches
@@ -221,7 +221,7 @@ def _copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc, print and spans (start, end in bytes; may overlap) of all texts with a repeated window; of doc, print and text.
+    """doc, print and spans (start, end in bytes) of all texts with a repeated window; of doc, print and text.
 
     A text that occurs more than once is repeated in whole; only its first copy goes through the passes, for others that
     share a part of it.
@@ -248,11 +248,22 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     windows = join_by_key(each, same, ["digit", "window"], "n", n).where("n is not null")
     spans = _spans(done).unionByName(_spans(done_cells)).unionByName(_spans(windows))
     spans = spans.unionByName(copies.select("doc", "print", F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("end")))
-    out = scratch.save(spans.groupBy("doc", "print").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    out = scratch.finish(_runs(spans))
     release_shuffles(docs.sparkSession)
     return out
 
 
+def _runs(spans: DataFrame) -> DataFrame:
+    """doc, print and spans, of which those that touch are one: a periodic text has a span at every byte, but few runs. They are
+    sorted by text in tasks that spill, and only runs are gathered."""
+    upto = Window.partitionBy("doc", "print").orderBy("start", "end")
+    before = F.max("end").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    numbered = new.withColumn("run", F.sum("new").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("doc", "print", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
 def runs_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans as maximal runs."""
     out: list[tuple[int, int]] = []
