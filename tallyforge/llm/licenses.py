@@ -4,8 +4,9 @@ Every rolling word 2-gram hash of every text is joined with the positions that i
 diagonal (position in the text minus position in the template). Neighbouring diagonals of a template, as insertions and
 deletions leave them, are merged, and a merged span is verified: the distinct template grams that it holds must cover at
 least MIN_COVER of the template, within a span not much longer than the template. A base phrase counts where all its grams
-stand on one diagonal, which is where its words stand consecutively. The templates are a fixed, small table, so they are
-broadcast; texts aren't shuffled, only hits and one row a document are.
+stand on one diagonal, which is where its words stand consecutively. Templates are a small fixed list, or
+a table of whole license texts; they are broadcast while their grams are at most TEMPLATE_ROWS. Texts aren't shuffled, only hits and
+one row a document are.
 
 Defined cases: a null or empty text has no words, no places, empty label lists and score 0; a row repeated gives its result
 as often; a null doc_id is kept; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -37,6 +38,8 @@ K = 2
 MIN_COVER = 0.6
 MERGE_GAP = 3
 SENTINEL = 0
+#: Up to so many grams of templates, at about 60 bytes, are broadcast.
+TEMPLATE_ROWS = 500_000
 
 
 def template_rows() -> list[tuple[int, str, bool, int, int, str, str]]:
@@ -48,18 +51,38 @@ def template_rows() -> list[tuple[int, str, bool, int, int, str, str]]:
     return out
 
 
-def _templates(spark: SparkSession) -> DataFrame:
+def template_grams(templates: DataFrame, text_col: str = "text", label_col: str = "label") -> DataFrame:
+    """The grams of a table of license texts and labels, as those of the fixed list: gram, template, label, base, n_grams, tpos.
+    Texts of a single word have no gram and are never found; a null label is blank."""
+    cut = templates.select(F.coalesce(F.col(label_col).cast("string"), F.lit("")).alias("label"), words(F.col(text_col).cast("string")).alias("words")).where(f"size(words) >= {K}").distinct()
+    # told by the text, not by a row number, so that a lost executor changes nothing; the fixed phrases have small numbers
+    keyed = cut.select("label", F.xxhash64("words", "label").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62)).alias("template"), (F.size("words") - (K - 1)).alias("n_grams"), grams("words", K).alias("grams"))
+    each = keyed.select("label", "template", "n_grams", F.posexplode("grams").alias("tpos", "gram"))
+    return each.select("gram", "template", "label", F.lit(False).alias("base"), "n_grams", "tpos")
+
+
+def _templates(spark: SparkSession, templates: DataFrame | None = None) -> DataFrame:
+    """The grams to look for, the phrases of the contract always among them, and the sentinel."""
+    fixed = _fixed(spark)
+    if templates is None:
+        return F.broadcast(fixed)
+    rows = fixed.where("base or template < 0").withColumn("template", F.col("template").cast("long")).unionByName(template_grams(templates))
+    return F.broadcast(rows) if rows.count() <= TEMPLATE_ROWS else rows
+
+
+def _fixed(spark: SparkSession) -> DataFrame:
     rows = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(r, ("template", "label", "base", "n_grams", "tpos", "w0", "w1"), strict=True))) for r in template_rows()))
     grams_ = spark.range(1).select(F.inline(rows)).select(F.xxhash64("w0", "w1").alias("gram"), "template", "label", "base", "n_grams", "tpos")
     return grams_.unionByName(spark.range(1).select(F.lit(SENTINEL).cast("long").alias("gram"), F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(1).alias("n_grams"), F.lit(0).alias("tpos")))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None) -> DataFrame:
+    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. ``templates``, a table of
+    text and label, takes the place of the short list of notices that this module knows."""
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("print"), words(F.col(text_col).cast("string")).alias("words"))
     # the sentinel gram keeps documents without any hit
     rolled = cut.select("doc_id", "print", F.size("words").alias("n_words"), F.posexplode(F.concat(grams("words", K), F.array(F.lit(SENTINEL).cast("long")))).alias("pos", "gram"))
-    hits = rolled.join(F.broadcast(_templates(docs.sparkSession)), "gram")
+    hits = rolled.join(_templates(docs.sparkSession, templates), "gram")
     key = ["doc_id", "print", "n_words", "template", "label", "base", "n_grams"]
     diagonals = hits.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("times"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("tpos").alias("seen"))
     diagonals = diagonals.withColumn("votes", F.size("seen"))

@@ -1,3 +1,4 @@
+import random
 import re
 
 from tallyforge.llm import licenses
@@ -40,5 +41,24 @@ def test_whole_table_equals_sql(spark, oracle):
     assert rows(licenses.op6_license_scan(spark, SF).toPandas()) == rows(oracle(licenses.OP6_SQL))
 
 
-def test_no_python_on_the_path(documents):
-    assert not re.search("Python|Pandas|Arrow", licenses.license_scan(documents)._jdf.queryExecution().toString())
+def test_no_python_on_the_path(documents, plans):
+    assert plans(licenses.license_scan(documents), 0)
+
+
+def test_whole_license_texts_as_a_table(spark, frame):
+    """Long templates: whole copies, copies with words put in, and halves; texts that share only common words aren't found."""
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = {f"lic{i}": [r.choice(vocabulary) for _ in range(r.choice((150, 900, 3000)))] for i in range(12)}
+    templates = spark.createDataFrame([(" ".join(t), k) for k, t in texts.items()] + [("", "none"), (None, "none"), ("one", "none")], "text string, label string")
+    docs, expected = [], {}
+    for i, (label, cut) in enumerate(texts.items()):
+        put_in = [w for j, w in enumerate(cut) for w in ((w, "extra") if j % 50 == 25 and j // 50 % 12 == 0 else (w,))]
+        for kind, some, found in ((0, cut, label), (1, put_in, label), (2, cut[: len(cut) // 2], ""), (3, r.sample(cut, len(cut)), "")):
+            doc_id = 10 * i + kind
+            docs.append((doc_id, " ".join(["intro", *some, "outro"])))
+            expected[doc_id] = found
+    docs.append((999, "the MIT License holds"))
+    out = {x.doc_id: x for x in licenses.license_scan(frame(docs), templates=templates).collect()}
+    assert {d: out[d].labels for d in expected} == expected
+    assert out[999].base_labels == "mit" and out[999].labels == "mit" and len(out) == len(docs)
