@@ -73,6 +73,7 @@ def one_a_group(docs: DataFrame, rows: DataFrame, n: int, scratch: Scratch, id_c
     told = scratch.save(join_by_key(rows, groups, ["group"], "n_rows", n).where("n_rows is not null").select(*KEY, (F.struct(*KEY) == F.col("first")).alias("stays")), n)
     gone = scratch.save(told.where("not stays").select(*KEY).distinct(), n)
     again = scratch.save(told.where("stays").groupBy(*KEY).count().where("count > 1").select(*KEY), n)
+    scratch.keep(gone, again)
     keyed = docs.select("*", *row_key(id_col, text_col)).join(few(gone), KEY, "left_anti")
     if again.isEmpty():
         return keyed.select(*docs.columns)

@@ -77,7 +77,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     64-bit hash), whatever other rows have the same doc_id or none."""
     print_ = F.xxhash64(F.col("text").cast("string"))
     texts = docs.select(print_.alias("doc_id"), "text")
-    found = Scratch(docs.sparkSession).save(contaminated(texts, items).select(F.col("doc_id").alias("_print")).distinct())
+    found = Scratch(docs.sparkSession).finish(contaminated(texts, items).select(F.col("doc_id").alias("_print")).distinct())
     return docs.join(_bounded(found, found.count()), print_ == F.col("_print"), "left_anti")
 
 

@@ -278,6 +278,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType, True) for f in docs.schema.fields), T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
     if len(sweeps) == 1:
         probe = loaded(sweeps[0])
+        scratch.keep()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

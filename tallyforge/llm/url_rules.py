@@ -74,9 +74,9 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     judged = both.join(whole, "antecedent").select("antecedent", "verdict", (F.col("freq") / F.col("n_antecedent")).alias("confidence"), (F.col("freq") / F.lit(n)).alias("support"), F.size("antecedent").alias("n"))
     rules = scratch.save(_best_of_parts(scratch.save(judged), scratch).where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.greatest("best", F.lit(0.0)))))
     rules = rules.withColumn("rule", F.xxhash64("antecedent", "verdict"))
-    often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    often = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     least = rules.select("rule", F.explode("antecedent").alias("token")).join(often, "token").groupBy("rule").agg(F.min(F.struct("freq", "token")).alias("least"))
-    return rules.join(least, "rule").select("antecedent", "verdict", "confidence", "support", F.col("least.token").alias("key"))
+    return scratch.finish(rules.join(least, "rule").select("antecedent", "verdict", "confidence", "support", F.col("least.token").alias("key")))
 
 
 def _best_of_parts(judged: DataFrame, scratch: Scratch) -> DataFrame:
@@ -110,7 +110,7 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         labelled = seen.where("fixed is not null").select("tokens", F.col("fixed.verdict").alias("verdict"))
     else:
         labelled = cut(labels, F.col("verdict")).select("tokens", "verdict")
-    mined = scratch.save(mine_rules(labelled, min_support, min_confidence))
+    mined = mine_rules(labelled, min_support, min_confidence)
     n_rules = mined.count()
     filed = F.broadcast(mined) if n_rules <= RULE_ROWS else mined
     looked_up = seen.where("fixed is null").select("row", "tokens", F.explode("tokens").alias("key")).join(filed, "key")

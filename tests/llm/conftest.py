@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -23,6 +24,27 @@ def frame(spark):
     return make
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all tables that are written on the way, and a look at them for Python workers."""
+    from tallyforge.storage import Scratch
+
+    seen, save = [], Scratch.save
+
+    def saved(self, df, *args, **more):
+        seen.append(df._jdf.queryExecution().toString())
+        return save(self, df, *args, **more)
+
+    monkeypatch.setattr(Scratch, "save", saved)
+
+    def native(result, at_least):
+        seen.append(result._jdf.queryExecution().toString())
+        assert len(seen) > at_least
+        return not any(re.search("PythonUDF|Pandas|Arrow|MapIn|Python", p) for p in seen)
+
+    return native
+
+
 @pytest.fixture(scope="session")
 def oracle():
     def run(sql, sf_dir=SF):
