@@ -10,7 +10,7 @@ costs: keys to probe, and candidates by the bits' spread over all fingerprints.
 used partition, probed with all values within t_i, and candidates are verified on all 64 bits, and on 64 more where the table of
 fingerprints has a second word (``check``).
 
-A bucket in which what is filed and what probes it would make more than HOT_BUCKET ** 2 pairs emits none. All fingerprints that
+A bucket in which what is filed and what probes it would make far more pairs than others do emits none. All fingerprints that
 touch such a bucket meet exactly in another way. At few bits apart each is filed under every value within bits_apart / 2 of it, so
 fingerprints are linked exactly if they share such a value; at most as many fingerprints share one as there are values that near,
 and they're joined to the smallest as a star. At more bits apart there are too many such values, and the bucket is compared in
@@ -43,7 +43,9 @@ from tallyforge.llm.components import connected_components
 
 BITS, SEED = 64, 42
 SHINGLE, BITS_APART = 3, 2
-HOT_BUCKET = 1024
+#: A bucket is hot if it would make more pairs than HOT_BUCKET ** 2, and than so many times the mean of all buckets, which grows
+#: with the table.
+HOT_BUCKET, HOT_TIMES = 64, 32
 #: Bytes of a text whose words are held at a time.
 BLOCK = 1 << 20
 #: Up to so many bits apart, fingerprints of a hot bucket meet halfway.
@@ -235,8 +237,10 @@ def links(prints: DataFrame, n: int, bits_apart: int, scratch: Scratch, hot_buck
     if probes:
         probing = reduce(lambda x, y: x.unionByName(y), probes).withColumn("is_filed", F.lit(False))
         entries = scratch.save(entries.unionByName(probing))
-    sizes = entries.groupBy("part", "value").agg(F.count_if("is_filed").alias("n_filed"), F.count("*").alias("n_all"))
-    hot = scratch.save(sizes.where(F.col("n_filed") * F.col("n_all") > hot_bucket**2).select("part", "value"))
+    sizes = entries.groupBy("part", "value").agg((F.count_if("is_filed") * F.count("*")).alias("n_pairs")).where("n_pairs > 1")
+    sizes = scratch.save(sizes, n * len(parts))
+    mean = sizes.agg(F.avg("n_pairs")).first()[0] or 0.0
+    hot = scratch.save(sizes.where(F.col("n_pairs") > max(hot_bucket**2, HOT_TIMES * mean)).select("part", "value"))
     n_hot = hot.count()
     hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
     other = filed.join(hot, ["part", "value"], "left_anti").withColumnsRenamed({w: f"other_{w}" for w in words})

@@ -69,13 +69,15 @@ def test_odd_rows(frame):
 
 
 @pytest.mark.parametrize(("apart", "hot"), [(2, 64), (2, 2), (4, 64), (3, 2), (6, 3)])
-def test_near_copies_equal_brute_force(frame, apart, hot):
+def test_near_copies_equal_brute_force(frame, monkeypatch, apart, hot):
+    monkeypatch.setattr(simhash, "HOT_TIMES", 0)
     docs = near_copies(60, seed=apart + hot) + ODD
     assert got(frame(docs), bits_apart=apart, hot_bucket=hot) == expected(docs, apart)
 
 
 @pytest.mark.parametrize("hot", [64, 1])
-def test_second_words_of_fingerprints_are_verified(spark, hot):
+def test_second_words_of_fingerprints_are_verified(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_TIMES", 0)
     r = random.Random(hot)
     first = [r.getrandbits(64) for _ in range(6)]
     rows = {(x := f ^ sum(1 << b for b in r.sample(range(64), r.randrange(5)))): r.choice((0, 3, 2**63)) for f in first for _ in range(12)}
