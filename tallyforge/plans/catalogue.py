@@ -601,12 +601,12 @@ def synthetic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(F.broadcast(repeated.select(F.col("n").between(100, 300).alias("some_repeat"))))  # one row each
 
 
-@query("rotated_files", f"WITH {o.APP_EVENTS} SELECT metric_code, CAST(DATE '1970-01-01' + CAST(ts_ns // {NS_PER_DAY} AS INTEGER) AS DATE) AS event_date, count(*) AS n_events, true AS files_are_small FROM app GROUP BY ALL")
+@query("rotated_files", f"WITH {o.APP_EVENTS} SELECT metric_code, CAST(CAST(DATE '1970-01-01' + CAST(ts_ns // {NS_PER_DAY} AS INTEGER) AS DATE) AS VARCHAR) AS event_date, count(*) AS n_events, true AS files_are_small FROM app GROUP BY ALL")
 def rotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written by metric and day into files of at most 50, and counted by where they are."""
     path = new_dir(spark, "rotated")
     segments.write_events(app_events(spark, sf_dir).coalesce(2), path, records_per_file=50)
-    files = spark.read.parquet(path).groupBy("metric_code", "event_date", F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    files = spark.read.parquet(path).groupBy("metric_code", F.col("event_date").cast("string").alias("event_date"), F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
     return files.groupBy("metric_code", "event_date").agg(F.sum("n").alias("n_events"), (F.max("n") <= 50).alias("files_are_small"))
 
 
